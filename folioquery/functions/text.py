@@ -70,7 +70,7 @@ def base_name(path: Column) -> Column:
 
 def suffix(path: Column) -> Column:
     """Lower-cased last suffix with its dot, '' when there is none."""
-    return F.lower(F.regexp_extract(base_name(path), r"[^.](\.[^.]+)$", 1))
+    return F.lower(F.regexp_extract(base_name(path), r"^.+(\.[^.]+)$", 1))
 
 
 def as_passage(text: Column) -> Column:
