@@ -8,12 +8,18 @@ from pyspark.sql import Column, functions as F
 
 from folioquery import constants as K
 
-_BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+_BLANKS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 
 
 def strip(text: Column) -> Column:
     """Drop every kind of white space at both ends (Spark's trim only drops spaces)."""
-    return F.regexp_replace(text, f"^{_BLANK}|{_BLANK}$", "")
+    return F.regexp_replace(text, f"^[{_BLANKS}]+|[{_BLANKS}]+$", "")
+
+
+def has_text(text: Column) -> Column:
+    """True when something is left after cleaning. Filtering on this avoids cleaning twice, since Spark
+    moves a filter on a computed column below the projection and repeats the expression there."""
+    return text.rlike(f"[^{_BLANKS}]")
 
 
 def clean(text: Column) -> Column:
@@ -86,6 +92,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def has_word(text: Column) -> Column:
+    return text.rlike(r"[\p{L}\p{N}]")
+
+
 def reply_text(blocks: Column) -> Column:
     """Join the text of a reply that came as a list of blocks."""
     return F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), " ")

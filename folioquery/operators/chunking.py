@@ -3,7 +3,7 @@
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from folioquery import constants as K
 from folioquery.operators.ordering import running_total
@@ -66,7 +66,7 @@ def recursive_chunks(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: in
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than the chunk size")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: split_text(t, size, overlap) if t else [])
@@ -96,7 +96,8 @@ def fixed_chunks(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int =
 
 def _explode_chunks(documents: DataFrame, pieces: Column) -> DataFrame:
     kept = [c for c in documents.columns if c != "text"]
-    chunks = documents.select(*kept, F.posexplode(pieces).alias("chunk_seq", "text"))
+    # The outer form keeps Spark from also filtering on the array, which would compute it twice.
+    chunks = documents.select(*kept, F.posexplode_outer(pieces).alias("chunk_seq", "text")).where("text IS NOT NULL")
     return chunks.withColumn("chunk_key", chunk_key(F.col("file_name"), F.col("doc_seq"), F.col("chunk_seq")))
 
 

@@ -31,6 +31,10 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _packs(df: DataFrame, key: str, category: str) -> DataFrame:
     """(cell, key, category, vector) rows -> rows of up to PACK_ROWS unit vectors of one cell, sorted by key."""
     rows = df.select("cell", F.col(key).alias("key"), F.col(category).cast("string").alias("category"), "vector")
@@ -51,8 +55,8 @@ def _packs(df: DataFrame, key: str, category: str) -> DataFrame:
                     matrix = _matrix(part.column("vector"))
                     yield pa.RecordBatch.from_pydict({
                         "cell": pa.array([cells[left]], pa.int32()),
-                        "keys": pa.array([part.column("key")]),
-                        "categories": pa.array([part.column("category")], pa.list_(pa.string())),
+                        "keys": _one_list(part.column("key")),
+                        "categories": _one_list(part.column("category")),
                         "matrix": pa.array([matrix.tobytes()], pa.binary()),
                     })
 

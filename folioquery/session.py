@@ -31,3 +31,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out an input that arrives in fewer partitions than the session works with, such as one small
+    file; an input that is already split widely stays as it is, without a shuffle."""
+    width = min(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df

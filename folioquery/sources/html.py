@@ -55,26 +55,28 @@ def html_sections(texts: DataFrame) -> DataFrame:
     no_empty_headings = F.regexp_replace(
         body, rf"(?is)<({_HEADING})\b[^>]*>(?:\s|&nbsp;|&#160;|{_OTHER_TAG})*</\1\s*>", "")
 
-    sections = (texts.select("file_name", page.alias("page"))
-                .select("file_name", title.alias("title"), no_empty_headings.alias("body"))
-                .select("file_name", "title",
-                        F.posexplode(F.split("body", rf"(?i)(?=<(?:{_HEADING})\b)")).alias("doc_seq", "part"))
-                .select("file_name", "title", "doc_seq",
-                        F.split("part", rf"(?i)(?=<(?:{_SELECTED})\b)").alias("pieces")))
-
-    selected = F.filter("pieces", lambda p: p.rlike(rf"(?i)^<(?:{_SELECTED})\b"))
-    texts_of = F.transform(selected, lambda p: visible_text(
-        F.regexp_replace(p, rf"(?is)^(.*</(?:{_SELECTED})\s*>).*$", "$1")))
-    has_heading = F.element_at("pieces", 1).rlike(rf"(?i)^<(?:{_HEADING})\b")
-    parts = sections.select("file_name", "title", "doc_seq", texts_of.alias("texts"),
-                            has_heading.alias("has_heading"))
-    section = F.when(F.col("has_heading"), F.get("texts", F.lit(0))).otherwise(F.col("title"))
-    rest = F.when(F.col("has_heading"), F.slice("texts", 2, F.greatest(F.size("texts"), F.lit(1)))) \
-        .otherwise(F.col("texts"))
-    body_text = clean(F.array_join(F.filter(rest, lambda t: t != ""), " "))
-    units = (parts.select("file_name", "doc_seq", section.alias("section"), body_text.alias("body"))
-             .where("body <> ''"))
-    return as_documents(units.withColumn("text", F.concat_ws("\n", "section", "body")), "html")
+    def section_of(part: Column) -> Column:
+        """(heading or NULL, texts) of one stretch between headings."""
+        pieces = F.filter(F.split(part, rf"(?i)(?=<(?:{_SELECTED})\b)"),
+                          lambda p: p.rlike(rf"(?i)^<(?:{_SELECTED})\b"))
+        shown = F.transform(pieces, lambda p: visible_text(
+            F.regexp_replace(p, rf"(?is)^(.*</(?:{_SELECTED})\s*>).*$", "$1")))
+        return F.struct(part.rlike(rf"(?i)^<(?:{_HEADING})\b").alias("headed"), shown.alias("texts"))
+
+    def unit_of(section: Column) -> Column:
+        title = F.when(section["headed"], F.get(section["texts"], F.lit(0))).otherwise(F.col("title"))
+        rest = F.slice(section["texts"], F.when(section["headed"], 2).otherwise(1), F.size(section["texts"]) + 1)
+        return F.struct(title.alias("section"),
+                        clean(F.array_join(F.filter(rest, lambda t: t != ""), " ")).alias("body"))
+
+    parts = F.split("body", rf"(?i)(?=<(?:{_HEADING})\b)")
+    units = F.filter(F.transform(F.transform(parts, section_of), unit_of), lambda u: u["body"] != "")
+    rows = (texts.select("file_name", page.alias("page"))
+            .select("file_name", title.alias("title"), no_empty_headings.alias("body"))
+            .select("file_name", F.posexplode_outer(units).alias("doc_seq", "unit"))
+            .where("unit IS NOT NULL"))
+    return as_documents(rows.select("file_name", "doc_seq", "unit.section",
+                                    F.concat_ws("\n", "unit.section", "unit.body").alias("text")), "html")
 
 
 def html_documents(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:

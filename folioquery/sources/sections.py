@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from folioquery.functions.text import clean, section_title
+from folioquery.functions.text import clean, has_text, section_title
 from folioquery.sources.files import as_documents, scan, whole_texts
 
 # (label, field, separator of a list field or None for a plain text field)
@@ -11,9 +11,9 @@ Field = tuple[str, str, str | None]
 
 def markdown_sections(texts: DataFrame) -> DataFrame:
     """Split (file_name, content) before every line that starts with ``## ``."""
-    parts = texts.select("file_name", F.posexplode(F.split("content", r"\n(?=## )")).alias("doc_seq", "part"))
-    units = parts.select("file_name", "doc_seq", clean(F.col("part")).alias("text")).where("text <> ''")
-    return as_documents(units.withColumn("section", section_title(F.col("text"))), "markdown")
+    parts = F.transform(F.split("content", r"\n(?=## )"), clean)
+    units = texts.select("file_name", F.posexplode_outer(F.filter(parts, lambda t: t != "")).alias("doc_seq", "text"))
+    return as_documents(units.where("text IS NOT NULL").withColumn("section", section_title(F.col("text"))), "markdown")
 
 
 def markdown_documents(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
@@ -61,6 +61,6 @@ def entity_documents(spark: SparkSession, paths, fields: list[Field], glob: str
 
 def page_documents(pages: DataFrame, fmt: str = "pdf") -> DataFrame:
     """Already extracted page texts (file_name, page, text): cleaned, empty pages dropped."""
-    units = pages.select("file_name", "page", (F.col("page") - 1).alias("doc_seq"),
-                         clean(F.coalesce("text", F.lit(""))).alias("text"))
-    return as_documents(units.where("text <> ''"), fmt)
+    units = pages.where(has_text(F.col("text"))).select(
+        "file_name", "page", (F.col("page") - 1).alias("doc_seq"), clean(F.col("text")).alias("text"))
+    return as_documents(units, fmt)
