@@ -12,7 +12,8 @@ from folioquery.functions.vectors import score
 
 
 class LexicalIndex(NamedTuple):
-    stats: DataFrame    # term, df, total
+    total: DataFrame    # n, the number of chunks
+    stats: DataFrame    # term, df
     vectors: DataFrame  # bag, category, first_key, terms, weights
     members: DataFrame  # bag, category, keys
 
@@ -40,19 +41,17 @@ def _bag(counts: Column) -> Column:
 
 
 def term_stats(counted: DataFrame) -> DataFrame:
-    """Document frequency per term and the number of documents; merges with a new batch by summing."""
-    total = counted.select(F.count("*").alias("n")).scalar()
+    """Document frequency per term."""
     terms = counted.select(F.explode_outer("counts.term").alias("term")).where("term IS NOT NULL")
-    return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("total", total)
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _weighted(bags: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
+def _weighted(bags: DataFrame, keys: list[str], total: DataFrame, stats: DataFrame) -> DataFrame:
     """(keys, counts) -> (keys, terms, weights): unit vectors with the rarest terms first."""
-    total = F.coalesce(stats.select(F.max("total")).scalar(), F.lit(0))
     df = F.coalesce("df", F.lit(0))
-    idf = F.log((1 + total) / (1 + df).cast("double")) + 1
+    idf = F.log((1 + total.scalar()) / (1 + df).cast("double")) + 1
     postings = (bags.select(*keys, F.inline_outer("counts"))
-                .join(stats.select("term", "df"), "term", "left")
+                .join(stats, "term", "left")
                 .select(*keys, F.struct(df.alias("df"), "term", (F.col("tf") * idf).alias("w")).alias("p")))
     # The norm is an aggregate of its own: a projected column used inside a lambda would be computed again
     # for every element.
@@ -73,7 +72,8 @@ def lexical_index(chunks: DataFrame, k: int = K.TOP_K) -> LexicalIndex:
         counted, worded = chunks, F.size("counts") > 0
     else:
         counted, worded = term_counts(chunks.select("chunk_key", "category", "text")), has_word(F.col("text"))
-    stats = term_stats(counted)
+    # Counted from the input rows: the count needs neither the terms nor the texts.
+    total, stats = chunks.select(F.count("*").alias("n")), term_stats(counted)
 
     group = ["bag", "category"]
     in_order = W.partitionBy(*group).orderBy("chunk_key")
@@ -83,7 +83,7 @@ def lexical_index(chunks: DataFrame, k: int = K.TOP_K) -> LexicalIndex:
               .withColumn("n", F.row_number().over(in_order)).where(F.col("n") <= k))
     members = firsts.groupBy(*group).agg(F.sort_array(F.collect_list("chunk_key")).alias("keys"))
     unique = firsts.where("n = 1").select(*group, F.col("chunk_key").alias("first_key"), "counts")
-    return LexicalIndex(stats, _weighted(unique, [*group, "first_key"], stats), members)
+    return LexicalIndex(total, stats, _weighted(unique, [*group, "first_key"], total, stats), members)
 
 
 def save_lexical_index(index: LexicalIndex, path: str) -> None:
@@ -130,7 +130,7 @@ def lexical_topk(questions: DataFrame, index: LexicalIndex, k: int = K.TOP_K,
         "question_id", "question", F.coalesce("category", F.lit("")).alias("only")), "question")
     asked = asked.where(has_word(F.col("question"))).withColumn("ask", _bag(F.col("counts")))
     asks = asked.select("ask", "only", "counts").dropDuplicates(["ask", "only"])
-    ask_vectors = _weighted(asks, ["ask", "only"], index.stats)
+    ask_vectors = _weighted(asks, ["ask", "only"], index.total, index.stats)
 
     postings = (index.vectors.select("bag", "category", F.explode_outer(F.arrays_zip("terms", "weights")).alias("p"))
                 .select("bag", "category", F.col("p.terms").alias("term"), F.col("p.weights").alias("w")))

@@ -243,7 +243,7 @@ FROM past WHERE role = 'assistant'""",
 SELECT quote_id, round(subtotal, 2) AS subtotal, round(total, 2) AS total, has_from FROM totals""",
     "quote_unmatched": f"WITH {_QUOTES} SELECT quote_id, line, requested FROM missing",
     "nested_quotes": f"""WITH {_QUOTES},
-listed AS (SELECT quote_id, string_agg(concat_ws('|', service, round(price, 2)::VARCHAR, is_from::VARCHAR, delivery), '; ' ORDER BY line)
+listed AS (SELECT quote_id, string_agg(concat_ws('|', service, round(price, 2)::VARCHAR, is_from::VARCHAR, delivery), '; ' ORDER BY line, requested)
              FILTER (service IS NOT NULL) AS lines FROM priced GROUP BY quote_id),
 unmatched AS (SELECT quote_id, string_agg(requested, '; ' ORDER BY line, requested) AS unmatched FROM missing GROUP BY quote_id)
 SELECT quote_id, coalesce(lines, '') AS lines, round(subtotal, 2) AS subtotal, plan_service AS plan,

@@ -1,14 +1,14 @@
 """Business category of a file: folder override, then configured map, then the default."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery import constants as K
 
-CATEGORY_MAP = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("category", T.StringType())])
-
-
 def category_map(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(mapping.items()), CATEGORY_MAP)
+    # An Arrow table becomes a local relation, which costs no job when it is joined.
+    return spark.createDataFrame(pa.table({"file_name": list(mapping), "category": list(mapping.values())},
+                                          pa.schema([("file_name", pa.string()), ("category", pa.string())])))
 
 
 def folder_categories(spark: SparkSession, path: str) -> DataFrame:
