@@ -46,11 +46,12 @@ def replace_files(spark: SparkSession, path: str, chunks: DataFrame, files: Data
     Only the buckets of these files are read and overwritten. A file without chunks leaves one row with a
     NULL text behind, so that its bucket is written even when nothing else is left in it; readers skip it.
     """
-    files = files.select("file_name").distinct()
+    # Every file with new chunks counts as replaced: a bucket must never be written without being read.
+    filled = chunks.select("file_name").distinct()
+    files = files.select("file_name").unionByName(filled).distinct()
     touched = files.select(bucket(F.col("file_name"), buckets).alias("bucket")).distinct()
-    current = spark.read.parquet(path)
-    near = current.join(touched, "bucket", "left_semi").drop("bucket")
-    emptied = files.join(chunks.select("file_name").distinct(), "file_name", "left_anti")
+    near = spark.read.parquet(path).join(touched, "bucket", "left_semi").drop("bucket")
+    emptied = files.join(filled, "file_name", "left_anti")
     rows = replaced(near, chunks, files).unionByName(emptied, allowMissingColumns=True)
     _write(rows, path, "overwrite", buckets, "dynamic")
 

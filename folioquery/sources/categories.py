@@ -12,10 +12,23 @@ def category_map(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
 
 
 def folder_categories(spark: SparkSession, path: str) -> DataFrame:
-    """Override file of a folder; its name starts with ``_``, so it is read by its own path."""
-    text = F.regexp_replace("value", "^﻿", "")
-    return (spark.read.text(path, wholetext=True)
-            .select(F.explode(F.from_json(text, "map<string,string>")).alias("file_name", "category")))
+    """Override file of a folder; none gives an empty map.
+
+    Spark's file scans hide names that start with ``_`` even when asked for by name, so this one settings
+    file is opened through the file system.
+    """
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    system = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    text = "{}"
+    if system.exists(file):
+        stream = system.open(file)
+        try:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").removeprefix("\ufeff")
+        finally:
+            stream.close()
+    return spark.createDataFrame(pa.table({"value": [text]})).select(
+        F.explode(F.from_json("value", "map<string,string>")).alias("file_name", "category"))
 
 
 def with_category(documents: DataFrame, configured: DataFrame | None = None,

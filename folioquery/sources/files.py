@@ -10,12 +10,17 @@ def any_case(suffix: str) -> str:
     return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
+def metadata_name() -> Column:
+    """Base name of the scanned file; the metadata column holds it URL-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def scan(spark: SparkSession, kind: str, paths: str | list[str], glob: str | None, **options) -> DataFrame:
     """Files of one kind with their base name; names starting with ``_`` or ``.`` stay hidden."""
     reader = spark.read.format(kind).options(**options)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(paths).select("*", F.col("_metadata.file_name").alias("file_name"))
+    return reader.load(paths).select("*", metadata_name().alias("file_name"))
 
 
 def whole_texts(spark: SparkSession, paths: str | list[str], glob: str | None) -> DataFrame:

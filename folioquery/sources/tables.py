@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 from folioquery import constants as K
 from folioquery.functions.text import cells_sentence
 from folioquery.schema import CATALOGUE
-from folioquery.sources.files import as_documents
+from folioquery.sources.files import as_documents, metadata_name
 
 _CSV = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
 
@@ -27,7 +27,7 @@ def csv_cells(spark: SparkSession, paths: str | list[str], glob: str | None = No
         f"CSV record with more than {max_columns} columns: raise max_columns"))).otherwise(F.lit(True))
     records = reader.csv(paths).select(
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
+        metadata_name().alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("read_order"),
         F.array(*names[:-1]).alias("cells"),
