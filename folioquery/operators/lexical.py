@@ -36,8 +36,10 @@ def term_counts(df: DataFrame, text: str = "text", name: str = "counts") -> Data
 
 def _bag(counts: Column) -> Column:
     """Digest of a bag of words; texts with equal bags have equal vectors."""
-    return F.unhex(F.sha2(F.array_join(F.transform(
-        counts, lambda c: F.concat(c["term"], F.lit(":"), c["tf"].cast("string"))), " "), 256))
+    spelled = F.array_join(F.transform(counts, lambda c: F.concat(c["term"], F.lit(":"), c["tf"].cast("string"))), " ")
+    # Never NULL, and known to be so: otherwise every join on it first filters on it, which would count the
+    # words of each text a second time.
+    return F.coalesce(F.unhex(F.sha2(spelled, 256)), F.lit(b""))
 
 
 def term_stats(counted: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def lexical_index(chunks: DataFrame, k: int = K.TOP_K) -> LexicalIndex:
     group = ["bag", "category"]
     in_order = W.partitionBy(*group).orderBy("chunk_key")
     firsts = (counted.where(worded)
-              .select("chunk_key", "category", "counts")
+              .select("chunk_key", F.coalesce("category", F.lit("")).alias("category"), "counts")
               .withColumn("bag", _bag(F.col("counts")))
               .withColumn("n", F.row_number().over(in_order)).where(F.col("n") <= k))
     members = firsts.groupBy(*group).agg(F.sort_array(F.collect_list("chunk_key")).alias("keys"))

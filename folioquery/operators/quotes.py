@@ -14,8 +14,8 @@ from folioquery.operators.containment import first_contained, first_containing
 
 def _names(catalogue: DataFrame) -> DataFrame:
     """Distinct folded service names with their first position: all that a match can need."""
-    named = catalogue.where("servicio IS NOT NULL").select(fold_accents(F.col("servicio")).alias("name"), "cat_ord")
-    return named.groupBy("name").agg(F.min("cat_ord").alias("ord"))
+    named = catalogue.where("servicio IS NOT NULL").groupBy("servicio").agg(F.min("cat_ord").alias("ord"))
+    return named.groupBy(fold_accents(F.col("servicio")).alias("name")).agg(F.min("ord").alias("ord"))
 
 
 def _priced(catalogue: DataFrame, strict: bool) -> DataFrame:
@@ -35,12 +35,13 @@ def quote_lines(lines: DataFrame, catalogue: DataFrame, strict: bool = True) ->
     Returns (quote_id, line, requested, service, price, is_from, delivery), service NULL if unmatched.
     Matching runs once per distinct request text.
     """
-    folded = lines.withColumn("request", fold_accents(F.col("requested")))
-    asked, names = folded.select("request").distinct(), _names(catalogue)
+    texts = lines.select("requested").distinct().withColumn("request", fold_accents(F.col("requested")))
+    asked, names = texts.select("request").distinct(), _names(catalogue)
     first = (first_containing(asked, names).unionByName(first_contained(asked, names))
              .groupBy("request").agg(F.min("ord").alias("ord")))
     matched = first.join(_priced(catalogue, strict), "ord").drop("ord")
-    return folded.join(matched, "request", "left").select(
+    priced = texts.join(matched, "request").drop("request")
+    return lines.join(priced, "requested", "left").select(
         "quote_id", "line", "requested", "service", "price", "is_from", "delivery")
 
 
@@ -48,11 +49,12 @@ def maintenance_lines(requests: DataFrame, catalogue: DataFrame, strict: bool =
     """Maintenance of every request with months > 0: (quote_id, requested, plan_service, monthly, months, cost)."""
     name = F.concat(F.lit(K.MAINTENANCE), F.coalesce("plan", F.lit(K.DEFAULT_PLAN)))
     wanted = requests.where("months > 0").select("quote_id", "months", name.alias("requested"))
-    folded = wanted.withColumn("request", fold_accents(F.col("requested")))
-    first = first_containing(folded.select("request").distinct(), _names(catalogue))
+    texts = wanted.select("requested").distinct().withColumn("request", fold_accents(F.col("requested")))
+    first = first_containing(texts.select("request").distinct(), _names(catalogue))
     priced = _priced(catalogue, strict).select(
         "ord", F.col("service").alias("plan_service"), F.col("price").alias("monthly"))
-    return folded.join(first.join(priced, "ord").drop("ord"), "request", "left").select(
+    plans = texts.join(first, "request").join(priced, "ord").drop("ord", "request")
+    return wanted.join(plans, "requested", "left").select(
         "quote_id", "requested", "plan_service", "monthly", "months",
         (F.col("monthly") * F.col("months")).alias("cost"))
 

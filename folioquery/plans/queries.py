@@ -54,7 +54,7 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_documents(spark, sf):
-    docs = table(spark, sf, "documents").where(tx.has_text(F.col("text")))
+    docs = spread(table(spark, sf, "documents")).where(tx.has_text(F.col("text")))
     return docs.select("doc_id", tx.clean(F.col("text")).alias("text"))
 
 
@@ -238,7 +238,7 @@ def feedback_pairs(spark, sf):
 
 
 def accent_fold(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.fold_accents(F.col("text")).alias("folded"))
+    return spread(table(spark, sf, "documents")).select("doc_id", tx.fold_accents(F.col("text")).alias("folded"))
 
 
 def _price_text():
