@@ -26,18 +26,24 @@ CONTEXTO:
 {context}"""
 
 
+def _part(hits: DataFrame) -> Column:
+    label = location_label(hits["page"], hits["slide"], hits["section"], hits["row_no"])
+    return fragment(hits["rank"], hits["file_name"], label, hits["category"], hits["text"])
+
+
 def cited_context(hits: DataFrame) -> DataFrame:
     """(question_id, context): numbered fragments with their sources, best first."""
-    label = location_label(F.col("page"), F.col("slide"), F.col("section"), F.col("row_no"))
-    part = fragment(F.col("rank"), F.col("file_name"), label, F.col("category"), F.col("text"))
-    ordered = F.sort_array(F.collect_list(F.struct("rank", part.alias("part"))))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", _part(hits).alias("part"))))
     return hits.groupBy("question_id").agg(F.array_join(ordered["part"], K.FRAGMENT_SEPARATOR).alias("context"))
 
 
 def source_records(hits: DataFrame) -> DataFrame:
     """(question_id, rank, source): one display record per hit."""
-    whole = F.struct(*[F.col(c) for c in hits.columns])
-    return hits.select("question_id", "rank", source_record(whole).alias("source"))
+    return hits.select("question_id", "rank", _source(hits).alias("source"))
+
+
+def _source(hits: DataFrame) -> Column:
+    return source_record(F.struct(*[hits[c] for c in hits.columns]))
 
 
 def source_lists(hits: DataFrame) -> DataFrame:
@@ -76,7 +82,10 @@ def answers(questions: DataFrame, hits: DataFrame, history: DataFrame | None = N
     history: (question_id, history array<struct<role, text>>). A question without hits gets the fallback
     as its answer, no sources and no prompt, so a later model call can skip it.
     """
-    found = cited_context(hits).join(source_lists(hits), "question_id")
+    ordered = F.sort_array(F.collect_list(F.struct("rank", _part(hits).alias("part"), _source(hits).alias("source"))))
+    found = hits.groupBy("question_id").agg(ordered.alias("cited")).select(
+        "question_id", F.array_join("cited.part", K.FRAGMENT_SEPARATOR).alias("context"),
+        F.col("cited.source").alias("sources"))
     rows = questions.join(found, "question_id", "left")
     if history is not None:
         rows = rows.join(history.select("question_id", "history"), "question_id", "left")

@@ -67,4 +67,4 @@ def units_per_file(documents: DataFrame) -> DataFrame:
 
 def missing_files(expected: DataFrame, documents: DataFrame) -> DataFrame:
     """Expected file names that gave no document."""
-    return expected.select("file_name").exceptAll(documents.select("file_name").distinct()).distinct()
+    return expected.select("file_name").subtract(documents.select("file_name"))

@@ -107,7 +107,7 @@ SELECT question_id, rank, score, vec_id FROM ranked WHERE rank <= {K.TOP_K}"""
 
 
 _PART_UNITS = """parts AS (
-  SELECT p_brand AS file_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS row_no,
+  SELECT 'part.csv' AS file_name, p_partkey + 2 AS row_no,
     concat_ws('. ', 'p_name: ' || p_name, 'p_brand: ' || p_brand, 'p_type: ' || p_type, 'p_size: ' || p_size,
               'p_retailprice: ' || p_retailprice) AS text FROM part)"""
 

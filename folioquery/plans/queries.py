@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery import constants as K
 from folioquery.functions import prices, text as tx, vectors as vec
@@ -59,10 +59,10 @@ def clean_documents(spark, sf):
 
 
 def _part_units(spark, sf):
+    """The part table as the records of one file; its dense key is the record's position."""
     columns = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
-    row_no = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) + 1
-    parts = table(spark, sf, "part").withColumn("row_no", row_no)
-    return parts.select(F.col("p_brand").alias("file_name"), "row_no", tx.row_sentence(columns).alias("text"))
+    return table(spark, sf, "part").select(F.lit("part.csv").alias("file_name"), (F.col("p_partkey") + 2).alias("row_no"),
+                                           tx.row_sentence(columns).alias("text"))
 
 
 def row_sentences(spark, sf):

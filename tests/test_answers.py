@@ -99,6 +99,6 @@ def test_text_functions(spark):
 
 
 def test_missing_files(spark):
-    one = spark.createDataFrame([("a",), ("b",), ("b",)], "file_name string")
-    two = spark.createDataFrame([("a",), ("a",)], "file_name string")
+    one = spark.createDataFrame([("a",), ("a",), ("b",), ("b",)], "file_name string")
+    two = spark.createDataFrame([("a",)], "file_name string")
     assert [r.file_name for r in missing_files(one, two).collect()] == ["b"]
