@@ -92,6 +92,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def chosen_category(choice: Column) -> Column:
+    """Category filter from a selection: the entry for all categories means no filter."""
+    return F.nullif(choice, F.lit(K.ALL_CATEGORIES))
+
+
 def has_word(text: Column) -> Column:
     return text.rlike(r"[\p{L}\p{N}]")
 

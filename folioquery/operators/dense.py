@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from folioquery import constants as K
 from folioquery.session import shuffle_width
@@ -16,14 +16,6 @@ from folioquery.session import shuffle_width
 PACK_ROWS = 1024
 
 
-def vectorise(df: DataFrame, embed: Column | None = None, text: str = "text") -> DataFrame:
-    """Add ``vector`` from a user's embedding function, given as a column over the text.
-
-    Models that need role prefixes take ``as_passage`` / ``as_query`` of ``folioquery.functions.text``.
-    """
-    return df.withColumn("vector", embed if embed is not None else F.col(text))
-
-
 def _matrix(vectors: pa.Array) -> np.ndarray:
     """Unit rows in double precision."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

@@ -3,37 +3,49 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery import constants as K
-from folioquery.operators import answers as A, chunking, index as I, lexical
+from folioquery.operators import answers as A, chunking, dense, index as I, lexical
+from folioquery.operators.providers import Embedder, vectorise
 from folioquery.sources.corpus import load_documents
 
 
 def ingest(spark: SparkSession, folder: str | list[str], index_path: str, buckets: int = I.BUCKETS,
-           size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, **source_options) -> DataFrame:
-    """Read, chunk, count terms and write the index; returns units and chunks per file.
+           size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, embed: Embedder | None = None,
+           **source_options) -> DataFrame:
+    """Read, chunk, vectorise and write the index; returns units and chunks per file.
 
-    The counts are read back from the written index, so the corpus is only parsed twice: for its units and
+    The chunk numbers are read back from the written index, so the corpus is only parsed twice: for its units and
     for the write.
     """
     documents = load_documents(spark, folder, **source_options)
     chunks = chunking.with_chunk_id(chunking.recursive_chunks(documents, size, overlap))
-    I.build_index(lexical.term_counts(chunks), index_path, buckets=buckets)
+    I.build_index(vectorise(chunks, embed), index_path, buckets=buckets)
     written = I.read_index(spark, index_path).groupBy("file_name").agg(F.count("*").alias("chunks"))
     return (I.units_per_file(documents).join(written, "file_name", "left")
             .select("file_name", "units", F.coalesce("chunks", F.lit(0)).alias("chunks")))
 
 
 def reindex(spark: SparkSession, paths: list[str], index_path: str, buckets: int = I.BUCKETS,
-            size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, **source_options) -> None:
+            size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, embed: Embedder | None = None,
+            **source_options) -> None:
     """Replace the chunks of the given files. Their chunk_id restarts at 0, as for any batch of its own."""
     documents = load_documents(spark, paths, **source_options)
     chunks = chunking.with_chunk_id(chunking.recursive_chunks(documents, size, overlap))
     files = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1],) for p in paths], "file_name string")
-    I.replace_files(spark, index_path, lexical.term_counts(chunks), files, buckets)
+    I.replace_files(spark, index_path, vectorise(chunks, embed), files, buckets)
 
 
 def answer(questions: DataFrame, chunks: DataFrame, index: lexical.LexicalIndex | None = None,
-           history: DataFrame | None = None, k: int = K.TOP_K,
-           threshold: float = K.THRESHOLDS["lexical"], **prompt_options) -> DataFrame:
-    """Search, cite and build the prompt (or the fallback) for every question."""
-    hits = lexical.lexical_topk(questions, index or lexical.lexical_index(chunks, k), k, threshold)
+           history: DataFrame | None = None, k: int = K.TOP_K, threshold: float | None = None,
+           embed: Embedder | None = None, provider: str = "local", **prompt_options) -> DataFrame:
+    """Search, cite and build the prompt (or the fallback) for every question.
+
+    With an embedder the chunks carry a ``vector`` and scores are vector-store relevances, compared with
+    the threshold of ``provider``; without one the search is lexical.
+    """
+    if embed is None:
+        hits = lexical.lexical_topk(questions, index or lexical.lexical_index(chunks, k), k,
+                                    K.THRESHOLDS["lexical"] if threshold is None else threshold)
+    else:
+        hits = dense.dense_topk(vectorise(questions, embed, "question", query=True), chunks, k=k, metric="l2_relevance",
+                                threshold=K.THRESHOLDS[provider] if threshold is None else threshold)
     return A.answers(questions, lexical.hits_with_text(hits, chunks), history, **prompt_options)

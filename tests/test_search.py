@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 
 from folioquery.functions.vectors import cosine_to_relevance, l2_normalise, relevance_to_cosine
+from folioquery.functions.text import chosen_category
 from folioquery.operators import dense, lexical
+from folioquery.operators.index import read_index
+from folioquery.plans.pipeline import answer, ingest
 from pyspark.sql import functions as F
 
 CHUNKS = "chunk_key string, category string, text string"
@@ -110,6 +113,16 @@ def test_relevance_scale(spark):
     assert row.u == [0.6, 0.8] and row.n is None and row.r == 1.0
 
 
-def test_user_embedder(spark):
-    df = spark.createDataFrame([("a",)], "text string")
-    assert dense.vectorise(df, F.array(F.length("text").cast("float"))).first().vector == [1.0]
+def test_user_embedder(spark, tmp_path):
+    letters = lambda text: F.array(*[F.regexp_count(F.lower(text), F.lit(c)).cast("float") for c in "axyz"])
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "x.md").write_text("## xxxxxxxxx", encoding="utf-8")
+    (docs / "y.md").write_text("## yyyyyyyyy", encoding="utf-8")
+    ingest(spark, str(docs), str(tmp_path / "ix"), buckets=2, embed=letters)
+    chunks = read_index(spark, str(tmp_path / "ix"))
+    assert {tuple(r.vector) for r in chunks.collect()} == {(2.0, 9.0, 0.0, 0.0), (2.0, 0.0, 9.0, 0.0)}  # two in "passage: "
+    asked = spark.createDataFrame([(1, "xxxx", "Todas"), (2, "zzzz", None)], QUESTIONS).withColumn(
+        "category", chosen_category(F.col("category")))
+    got = {r.question_id: r for r in answer(asked, chunks, embed=letters).collect()}
+    assert [s.file_name for s in got[1].sources] == ["x.md"] and not got[2].used_retrieval
