@@ -253,17 +253,31 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_rows: int
     return logistic(rows, model.posterior(bits(votes), y))
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = THRESHOLD) -> DataFrame:
-    """Score every whole text; one row per input row, a null or empty text included. No shuffle."""
+def scorer(docs: DataFrame, weights: np.ndarray, bias: float):
+    """Function from a text to its score; the weights are broadcast (DIMENSIONS floats)."""
     state = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         w = state.value
         table = TokenTable(lambda token: float(sum(w[d] for d in word_features(token))))
+
+        def of(text: str | None) -> float:
+            margin = sum(map(table.__getitem__, distinct_tokens(text))) + bias
+            return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+
+        return of
+
+    return make
+
+
+def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = THRESHOLD) -> DataFrame:
+    """Score every whole text; one row per input row, a null or empty text included. No shuffle."""
+    make = scorer(docs, weights, bias)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
         for batch in batches:
-            margin = np.array([sum(map(table.__getitem__, distinct_tokens(x.as_py()))) for x in batch.column("text")],
-                              dtype=np.float64) + bias
-            scores = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+            scores = [of(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64())],
                                              ["doc_id", "score"])
 
@@ -272,5 +286,17 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float =
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    make = scorer(docs, *fit(docs, labels, fit_rows=fit_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            yield batch.filter(pa.array([of(x.as_py()) < threshold for x in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     return score(docs, *fit(docs, labels, fit_rows=fit_rows), threshold=threshold)
