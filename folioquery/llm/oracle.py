@@ -1,3 +1,29 @@
 """SQL counterparts of the operators' queries, where SQL can express them."""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op4_lines"] = """
+WITH lines AS (
+  SELECT doc_id, g.pos, string_split(text, chr(10))[g.pos + 1] AS line
+  FROM documents, LATERAL (SELECT unnest(range(len(string_split(text, chr(10))))) AS pos) g),
+grams AS (
+  SELECT doc_id, pos, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth
+    FROM grams WHERE c IS NOT NULL) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (SELECT unnest([0, 1, 2]) AS k)),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS dead,
+         l2.pos IS NOT NULL AND l1.pos IS NULL AND l3.pos IS NULL AND l4.pos IS NULL AS opens
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos
+  LEFT JOIN later l2 ON l.doc_id = l2.doc_id AND l.pos = l2.pos
+  LEFT JOIN later l1 ON l.doc_id = l1.doc_id AND l.pos = l1.pos + 1
+  LEFT JOIN later l3 ON l.doc_id = l3.doc_id AND l.pos = l3.pos + 2
+  LEFT JOIN later l4 ON l.doc_id = l4.doc_id AND l.pos = l4.pos + 3)
+SELECT d.doc_id, count(m.pos) AS n_lines, count(*) FILTER (WHERE m.dead) AS n_removed,
+       count(*) FILTER (WHERE m.opens) AS n_runs,
+       sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT m.dead), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
