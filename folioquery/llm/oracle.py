@@ -27,3 +27,26 @@ SELECT d.doc_id, count(m.pos) AS n_lines, count(*) FILTER (WHERE m.dead) AS n_re
        sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT m.dead), '')) AS kept_sha256
 FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 """
+
+ORACLE["op6_hamming"] = """
+WITH codes AS (
+  SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1)::INTEGER ELSE 0::HUGEINT END
+                           for i in generate_series(1, 64)])::HUGEINT AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INTEGER AS distance
+  FROM codes q, codes c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+WHERE rank <= 10
+"""
+
+ORACLE["op10_token_counts"] = """
+WITH kept AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+counts AS (
+  SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(text, '[^ \\t\\n\\r|]+')) AS tokens FROM kept
+  UNION ALL
+  SELECT source, lang, 'words-2', len(regexp_extract_all(text, '[\\p{L}]+|[^\\p{L} \\t\\n\\r]')) FROM kept)
+SELECT source, lang, version, count(*) AS documents, sum(coalesce(tokens, 0))::BIGINT AS tokens
+FROM counts GROUP BY source, lang, version
+"""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioquery.llm import bpe, packing, quality, toxicity
+from folioquery.llm import bpe, hamming, lines, minhash, packing, quality, rollups, suffixes, toxicity
+from folioquery.llm.common import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +33,44 @@ def op3_bpe(spark, sf):
     return bpe.encode_decode(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_lines(spark, sf):
+    return lines.without_repeated_lines(table(spark, sf, "documents"))
+
+
+def op6_hamming(spark, sf):
+    codes = written(hamming.sign_codes(table(spark, sf, "embeddings"), "vec_id", "embedding"))
+    found = hamming.nearest(codes, codes.where("id % 50 = 0"), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+def op7_suffixes(spark, sf):
+    return suffixes.without_repeats(table(spark, sf, "documents"))
+
+
+def op8_minhash(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op9_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_bpe, op9_packing)}
+def op10_token_counts(spark, sf):
+    """Two versions of word counts: all documents enter, junk is withdrawn, and the first version is counted anew."""
+    docs = table(spark, sf, "documents")
+    counts = written(rollups.counted(docs, {
+        "words-1": F.regexp_count("text", F.lit("[^ \t\n\r]+")), "words-2": F.regexp_count("text", F.lit("[\\p{L}]+|[^\\p{L} \t\n\r]")),
+        "words-1 anew": F.regexp_count("text", F.lit("[^ \t\n\r|]+"))}))
+    first, anew = counts.where("version <> 'words-1 anew'"), counts.where("version = 'words-1 anew'").withColumn("version", F.lit("words-1"))
+    junk = table(spark, sf, "labels").where("quality = 0").select("doc_id").distinct()
+    left = counts.where("version = 'words-1'").join(junk, "doc_id", "left_anti")
+    rollup = rollups.TokenRollup(spark, shared_folder(spark))
+    rollup.commit("0001", rollups.inserts(first))
+    rollup.commit("0002", rollups.deletes(first.join(junk, "doc_id", "left_semi")))
+    rollup.commit("0002", rollups.deletes(first))  # a batch sent twice changes nothing
+    rollup.commit("0003", rollups.revisions(left, anew.join(junk, "doc_id", "left_anti")))
+    return rollup.totals()
+
+
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (
+    op1_quality, op2_toxicity, op3_bpe, op4_lines, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts)}
