@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioquery.llm import bpe, hamming, lines, minhash, packing, quality, rollups, suffixes, toxicity
+from folioquery.llm import bpe, hamming, lines, minhash, nndescent, packing, quality, rollups, suffixes, toxicity
 from folioquery.llm.common import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op4_lines(spark, sf):
     return lines.without_repeated_lines(table(spark, sf, "documents"))
 
 
+def op5_neighbours(spark, sf):
+    return nndescent.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_hamming(spark, sf):
     codes = written(hamming.sign_codes(table(spark, sf, "embeddings"), "vec_id", "embedding"))
     found = hamming.nearest(codes, codes.where("id % 50 = 0"), k=10)
@@ -73,4 +77,4 @@ def op10_token_counts(spark, sf):
 
 
 REGISTRY: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality, op2_toxicity, op3_bpe, op4_lines, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts)}
+    op1_quality, op2_toxicity, op3_bpe, op4_lines, op5_neighbours, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts)}
