@@ -3,7 +3,7 @@
 The graph starts from blocks of vectors that are close in the order of random projections. Each round joins, around
 every centre, its neighbours and the nodes it is a neighbour of; any two of them that meet there and beat the present
 lists replace their worst entries. Vectors are lengthened by one component to equal norms, so that the largest inner
-product is the smallest distance. Queries walk the graph from their own node and from pivots, expanding the best
+product is the smallest distance; graph and walk use half-precision copies, final scores the vectors as given. Queries walk the graph from their own node and from pivots, expanding the best
 nodes not yet expanded, until nothing among the best is left to expand. Equal vectors are one node.
 """
 
@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioquery.llm.common import removed, written
 
-NEIGHBOURS = 24     # kept per node of the graph
+NEIGHBOURS = 32     # kept per node of the graph
 BLOCK = 256         # vectors compared with each other at the start
 ORDERS = 4          # random orders that are cut into blocks
-ROUNDS = 4          # most rounds of joins
+ROUNDS = 6          # most rounds of joins
 SETTLED = 0.01      # a round that changes a smaller share of the entries is the last
-BEAM = 64           # best nodes kept per query
-WIDTH = 16          # nodes expanded per query and step
-STEPS = 8           # most steps of a search
+BEAM = 128          # best nodes kept per query
+WIDTH = 24          # nodes expanded per query and step
+STEPS = 6           # most steps of a search
+HALF = "<f2"
 PIVOTS = 256        # start nodes every query is compared with (broadcast)
 
 
@@ -106,7 +107,7 @@ def best_lists(ids: np.ndarray, sims: np.ndarray, keep: int, above: np.ndarray |
     return [ids[t[g]] for t, g in zip(top, good)], [v[g] for v, g in zip(values, good)]
 
 
-def blocks(nodes: DataFrame, kind: str, count: int, centre: np.ndarray, seed: int) -> DataFrame:
+def blocks(nodes: DataFrame, count: int, centre: np.ndarray, seed: int) -> DataFrame:
     """Neighbour lists inside blocks of vectors that follow each other in the order of a few projections."""
     bits = max(1, math.ceil(math.log2(max(count / BLOCK, 2))))
     plane = np.random.default_rng(seed).normal(size=(len(centre), bits + 1))
@@ -114,7 +115,7 @@ def blocks(nodes: DataFrame, kind: str, count: int, centre: np.ndarray, seed: in
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                seen = (matrix(batch.column("vec"), kind) - centre) @ plane
+                seen = (matrix(batch.column("vec"), HALF).astype(np.float64) - centre) @ plane
                 key = ((seen[:, :bits] > 0) << np.arange(bits)).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(seen[:, bits]), *batch.columns],
                                                  ["key", "along", *batch.schema.names])
@@ -123,7 +124,7 @@ def blocks(nodes: DataFrame, kind: str, count: int, centre: np.ndarray, seed: in
         waiting: list[pa.RecordBatch] = []
 
         def compare(table: pa.Table) -> pa.RecordBatch:
-            x, extra = matrix(table["vec"], kind).astype(np.float32), table["extra"].to_numpy().astype(np.float32)
+            x, extra = matrix(table["vec"], HALF).astype(np.float32), table["extra"].to_numpy().astype(np.float32)
             ids = table["node"].to_numpy()
             return list_batch(ids, *best_lists(ids, x @ x.T + np.outer(extra, extra), NEIGHBOURS))
 
@@ -173,7 +174,7 @@ def around(graph: DataFrame) -> DataFrame:
     return edges.select(F.col("node").alias("centre"), F.col("nbr").alias("node")).union(back).distinct()
 
 
-def joined_round(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+def joined_round(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """Lists that any two nodes around a common centre offer each other, above what they have already."""
     worst = graph.select("node", F.when(F.size("sims") >= NEIGHBOURS, F.array_min("sims")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
     around_it = around(graph).union(graph.select(F.col("node").alias("centre"), "node"))
@@ -192,7 +193,7 @@ def joined_round(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
                 starts = starts[:-1]
             if not len(starts):
                 continue
-            ids, x = table["node"].to_numpy(), matrix(table["vec"], kind).astype(np.float32)
+            ids, x = table["node"].to_numpy(), matrix(table["vec"], HALF).astype(np.float32)
             x = np.column_stack([x, table["extra"].to_numpy().astype(np.float32)])
             above = table["worst"].to_numpy()
             who, nbrs, sims = [], [], []
@@ -209,15 +210,15 @@ def joined_round(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     return rows.select("centre", "node", "vec", "extra", "worst").mapInArrow(run, LISTS)
 
 
-def neighbour_graph(nodes: DataFrame, kind: str, count: int, centre: np.ndarray) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, count: int, centre: np.ndarray) -> DataFrame:
     """(node, nbrs, sims): the graph after the last round."""
-    start = [blocks(nodes, kind, count, centre, seed) for seed in range(ORDERS if count > BLOCK else 1)]
+    start = [blocks(nodes, count, centre, seed) for seed in range(ORDERS if count > BLOCK else 1)]
     lists = start[0]
     for more in start[1:]:
         lists = lists.union(more)
     graph = written(merged_lists(lists.withColumn("new", F.lit(True))))
     for _ in range(ROUNDS if count > BLOCK else 0):
-        offers = joined_round(graph, nodes, kind).withColumn("new", F.lit(True))
+        offers = joined_round(graph, nodes).withColumn("new", F.lit(True))
         after = written(merged_lists(offers.union(graph.select("node", "nbrs", "sims", F.lit(False).alias("new")))))
         removed(graph)
         graph = after
@@ -250,7 +251,7 @@ def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, kind:
     """(query_id, node, score) of the best nodes found; ``queries`` has query_id, qvec and own (its node or null)."""
     links = written(around(graph).groupBy("centre").agg(F.collect_list("node").alias("linked")))  # at most 2 x NEIGHBOURS
     chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).select("node", "vec").toArrow()
-    pivots = queries.sparkSession.sparkContext.broadcast((chosen["node"].to_numpy(), matrix(chosen["vec"], kind).astype(np.float64)))
+    pivots = queries.sparkSession.sparkContext.broadcast((chosen["node"].to_numpy(), matrix(chosen["vec"], HALF).astype(np.float64)))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = pivots.value
@@ -285,7 +286,7 @@ def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, kind:
                     if new.is_valid:
                         met_ids = new.values.field("node").to_numpy()
                         fresh = ~np.isin(met_ids, i)
-                        x = matrix(new.values.field("vec"), kind)[fresh].astype(np.float64)
+                        x = matrix(new.values.field("vec"), HALF)[fresh].astype(np.float64)
                         i = np.append(i, met_ids[fresh])
                         s = np.append(s, x @ np.frombuffer(q, dtype=kind).astype(np.float64))
                         e = np.append(e, np.zeros(len(x), dtype=bool))
@@ -311,17 +312,30 @@ def nearest(vectors: DataFrame, asked, k: int = 20, id_column: str = "vec_id", v
     single = members.where("nth = 1").select("node", "vec")
     count, top, centre = facts(single, kind)
 
+    scale = math.sqrt(top) or 1.0
+
     def lengthened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("vec"), kind).astype(np.float64)
-            extra = np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(extra)], ["node", "vec", "extra"])
+            if batch.num_rows:
+                x = matrix(batch.column("vec"), kind).astype(np.float64) / scale
+                extra = np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))
+                half = [row.tobytes() for row in x.astype(HALF)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(half, pa.binary()), pa.array(extra)], ["node", "vec", "extra"])
 
     nodes = written(single.mapInArrow(lengthened, "node long, vec binary, extra double"))
-    graph = neighbour_graph(nodes, kind, count, centre)
-    queries = rows.where(asked).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
-    queries = queries.join(nodes.select(F.col("node").alias("own"), F.col("vec").alias("qvec")), "qvec", "left")
-    hits = greedy_search(queries, graph, nodes, kind)
+    graph = neighbour_graph(nodes, count, centre / scale)
+    asking = rows.where(asked).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    queries = written(asking.join(single.select(F.col("node").alias("own"), F.col("vec").alias("qvec")), "qvec", "left"))
+    walked = greedy_search(queries, graph, nodes, kind)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, x = (matrix(batch.column(c), kind).astype(np.float64) for c in ("qvec", "vec"))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array((q * x).sum(axis=1))],
+                                             ["query_id", "node", "score"])
+
+    hits = (walked.join(single, "node").join(asking, "query_id").select("query_id", "node", "qvec", "vec")
+            .mapInArrow(exact, "query_id long, node long, score double"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (hits.join(members.select("node", "vec_id"), "node").where("vec_id <> query_id")
             .select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k))
