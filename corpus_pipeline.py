@@ -1,31 +1,46 @@
 """Corpus pipeline: documents are filtered, freed of repeats and packed, stage by stage.
 
-Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; the driver of the pipeline writes
-a stage's rows as Parquet and hands them to the next one.
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept. A stage's rows are written as
+Parquet and read again as the next one's documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from folioquery.llm import packing, toxicity
+from folioquery.llm import lines, minhash, packing, suffixes, toxicity
 from folioquery.llm.common import written
 from folioquery.llm.queries import table, tokenizer
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold; the label rows of the folder train the classifier."""
+    """Documents scored below the threshold stay; the label rows of the folder train the classifier."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines are cut out of the texts."""
+    return lines.without_repeated_lines(docs, texts=True)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, on shingles of five words at a similarity of 0.8 or more."""
+    return minhash.without_near_duplicates(docs, width=5, percent=80)
+
+
+def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 400-byte string that also starts elsewhere are cut out of the texts."""
+    return suffixes.without_repeats(docs, texts=True)
+
+
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("packing", pack_windows)]
-ORACLE_SQL = None  # scoring, shingle signatures and tokenising have no SQL form; tests compare with brute force
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near dedup", drop_near_duplicates),
+          ("suffix dedup", drop_repeated_bytes), ("packing", pack_windows)]
+ORACLE_SQL = None  # scoring, signatures and tokenising have no SQL form; the tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

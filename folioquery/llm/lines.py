@@ -69,6 +69,7 @@ def without_repeated_lines(docs: DataFrame, least: int = LEAST, texts: bool = Fa
     starts = (repeated_runs(docs, least).groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("_starts"))
               .withColumnsRenamed({"doc_id": "_doc", "text_key": "_text_key"}))
     base = docs if texts else docs.select("doc_id", "text")
+    names = base.columns  # task code must not hold a DataFrame
     joined = (base.withColumn("_key", text_key())
               .join(starts, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text_key")), "left")
               .select(*base.columns, "_starts"))
@@ -96,7 +97,7 @@ def without_repeated_lines(docs: DataFrame, least: int = LEAST, texts: bool = Fa
         for batch in batches:
             new = [rest for rest, *_ in cleaned(batch)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(new, pa.string()) if x == "text" else batch.column(x) for x in base.columns], base.columns)
+                [pa.array(new, pa.string()) if x == "text" else batch.column(x) for x in names], names)
 
     if not texts:
         return joined.mapInArrow(digests, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string")

@@ -21,12 +21,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from folioquery.llm.common import WordHashes, mix, worker_state, written
+from folioquery.llm.common import WordHashes, mix, text_key, worker_state, written
 from folioquery.llm.components import components
 
-BANDS, BAND_ROWS = 24, 5     # a pair at similarity 0.85 shares no band with a chance of 8e-7
+BANDS, BAND_ROWS = 32, 4     # a pair at similarity 0.85 shares no band with a chance of 4e-11, at 0.8 of 5e-8
 SIGNATURE = BANDS * BAND_ROWS
-BATCH = 24                   # signature rows compared between two looks at the posterior
+BATCH = 32                   # signature rows compared between two looks at the posterior
 MISS = 1e-6                  # posterior chance below which a pair is dropped
 BLOCK = 1024                 # bucket members compared at once in a task
 ODD, EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -177,6 +177,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     component_id is the smallest doc_id that links lead to. Rows that repeat a doc_id share its fate if their texts
     are linked. A row without doc_id gets the component of its text; it is kept only if no row with an id is in it.
     """
+    return grouped(docs, width, percent).select(
+        "doc_id", "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns: of each group of near-duplicates the document of smallest doc_id stays.
+
+    Rows without doc_id come last in a group; of rows equal in doc_id and text one stays, also if the text is empty.
+    """
+    clash = {"_doc", "_text_key"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"reserved column names: {sorted(clash)}")
+    stays = grouped(docs, width, percent).where("stays").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key")).distinct()
+    keyed = docs.withColumn("_key", text_key())
+    return (keyed.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text_key")), "left_semi")
+            .dropDuplicates(["doc_id", "_key"]).select(*docs.columns))
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Each input row with its set size, component and whether its document is the one that stays."""
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (a, b) = worker_state(("shingle words",), WordHashes), coefficients()
         for batch in batches:
@@ -187,8 +208,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
                 nodes.append(hashlib.md5(s.tobytes()).digest())
                 signatures.append(signature(s, a, b).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
-                 pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "node", "signature"])
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(sizes, pa.int64()),
+                 pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "node", "signature"])
 
     def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +230,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["node", "signature", "shingles"])
 
-    facts = written(docs.select("doc_id", "text").mapInArrow(
-        prepare, "doc_id long, n_shingles long, node binary, signature binary"))
+    facts = written(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(
+        prepare, "doc_id long, text_key long, n_shingles long, node binary, signature binary"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")
     classes = facts.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+        F.min("doc_id").alias("first_doc"), F.min(place).alias("first_place"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     # Sets of five or fewer shingles reach 0.85 only with an equal set, which is the same class.
     fewest = next(n for n in range(1, 101) if 100 * n >= percent * (n + 1))
     buckets = (classes.where(F.col("n_shingles") >= fewest).select("node", "signature")
@@ -232,10 +255,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     more = written(across_components(rooted.join(split, "bucket"), sets, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
-    placed = classes.select("node", "first_doc").join(roots, "node")
-    lowest = placed.groupBy("root").agg(F.min("first_doc").alias("lowest"))
-    component = (classes.select("node", "first_doc").join(roots, "node", "left").join(lowest, "root", "left")
-                 .select("node", F.coalesce("lowest", "first_doc").alias("lowest")))
-    return (facts.select("doc_id", "n_shingles", "node").join(component, "node", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+    of_class = classes.select("node", "first_doc", "first_place")
+    lowest = of_class.join(roots, "node").groupBy("root").agg(F.min("first_doc").alias("low_doc"), F.min("first_place").alias("low_place"))
+    component = (of_class.join(roots, "node", "left").join(lowest, "root", "left").select(
+        "node", F.coalesce("low_doc", "first_doc").alias("low_doc"), F.coalesce("low_place", "first_place").alias("low_place")))
+    some = F.col("n_shingles") > 0
+    return (facts.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")
+            .select("doc_id", "text_key", "n_shingles", F.when(some, F.col("low_doc")).otherwise(F.col("doc_id")).alias("component_id"),
+                    (~some | (place == F.col("low_place"))).alias("stays")))

@@ -352,6 +352,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, texts: bool = False) ->
              .agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
              .select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"), "_spans"))
     base = docs if texts else docs.select("doc_id", "text")
+    names = base.columns  # task code must not hold a DataFrame
     keyed = base.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text_key": text_key()})
     joined = keyed.join(spans, ["_doc", "_text_key"], "left").select(*base.columns, "_spans")
 
@@ -378,8 +379,8 @@ def without_repeats(docs: DataFrame, least: int = LEAST, texts: bool = False) ->
         for batch in batches:
             new = [old.as_py() if not gone else rest.decode("utf-8", "ignore")
                    for old, (rest, _, gone, _) in zip(batch.column("text"), kept(batch))]
-            columns = [pa.array(new, pa.string()) if x == "text" else batch.column(x) for x in base.columns]
-            yield pa.RecordBatch.from_arrays(columns, base.columns)
+            columns = [pa.array(new, pa.string()) if x == "text" else batch.column(x) for x in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     if not texts:
         return joined.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
