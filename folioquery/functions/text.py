@@ -40,10 +40,44 @@ def _accent_table() -> tuple[str, str]:
     return "".join(accented), "".join(plain)
 
 
+@cache
+def _long_decompositions() -> dict[str, str]:
+    """Characters other than Hangul syllables that come apart into several that stay."""
+    found = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        folded = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
+        if len(folded) > 1 and not _HANGUL[0] <= code <= _HANGUL[1]:
+            found[chr(code)] = folded
+    return found
+
+
+_HANGUL = (0xAC00, 0xD7A3)
+
+
+def _decomposed(text: Column) -> Column:
+    """Hangul syllables as their letters, by the arithmetic of their block, and other characters that come apart."""
+    def letters(char: Column) -> Column:
+        place = F.ascii(char) - _HANGUL[0]
+        parts = [(0x1100, 19, F.floor(place / 588)), (0x1161, 21, F.floor(place % 588 / 28)), (0x11A7, 28, place % 28)]
+        said = [F.substring(F.lit("".join(map(chr, range(first, first + n)))), at.cast("int") + 1, F.lit(1)) for first, n, at in parts]
+        return F.when((place >= 0) & (place <= _HANGUL[1] - _HANGUL[0]),
+                      F.concat(said[0], said[1], F.when(place % 28 == 0, "").otherwise(said[2]))).otherwise(char)
+
+    others = _long_decompositions()
+
+    def apart(char: Column) -> Column:
+        kinds = F.lit("".join(others))
+        return F.coalesce(F.get(F.array(*map(F.lit, others.values())), F.instr(kinds, char) - 1), char)
+
+    rare = "[" + "".join(others) + "]"
+    text = F.when(text.rlike(rare), F.array_join(F.transform(F.split(text, ""), apart), "")).otherwise(text)
+    return F.when(text.rlike("[가-힣]"), F.array_join(F.transform(F.split(text, ""), letters), "")).otherwise(text)
+
+
 def fold_accents(text: Column) -> Column:
     """Lower case without accents, for name matching."""
     accented, plain = _accent_table()
-    return F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{Mn}", "")
+    return F.regexp_replace(F.translate(_decomposed(F.lower(text)), accented, plain), r"\p{Mn}", "")
 
 
 def labelled(label: str | Column, value: Column) -> Column:

@@ -49,8 +49,9 @@ def replace_files(spark: SparkSession, path: str, chunks: DataFrame, files: Data
     # Every file with new chunks counts as replaced: a bucket must never be written without being read.
     filled = chunks.select("file_name").distinct()
     files = files.select("file_name").unionByName(filled).distinct()
-    touched = files.select(bucket(F.col("file_name"), buckets).alias("bucket")).distinct()
-    near = spark.read.parquet(path).join(touched, "bucket", "left_semi").drop("bucket")
+    # At most ``buckets`` integers reach the driver; as literals they prune the scan to the folders of these buckets.
+    touched = [row.bucket for row in files.select(bucket(F.col("file_name"), buckets).alias("bucket")).distinct().collect()]
+    near = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
     emptied = files.join(filled, "file_name", "left_anti")
     rows = replaced(near, chunks, files).unionByName(emptied, allowMissingColumns=True)
     _write(rows, path, "overwrite", buckets, "dynamic")

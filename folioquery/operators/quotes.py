@@ -18,11 +18,10 @@ def _names(catalogue: DataFrame) -> DataFrame:
     return named.groupBy(fold_accents(F.col("servicio")).alias("name")).agg(F.min("ord").alias("ord"))
 
 
-def _priced(catalogue: DataFrame, strict: bool) -> DataFrame:
-    return catalogue.select(
-        F.col("cat_ord").alias("ord"), F.col("servicio").alias("service"),
-        price_value(F.col("precio_usd"), strict).alias("price"), price_is_from(F.col("precio_usd")).alias("is_from"),
-        F.col("plazo_entrega").alias("delivery"))
+def _entries(catalogue: DataFrame) -> DataFrame:
+    """Entries with their price as text: only prices of matched entries are parsed."""
+    return catalogue.select(F.col("cat_ord").alias("ord"), F.col("servicio").alias("service"),
+                            F.col("precio_usd").alias("price_text"), F.col("plazo_entrega").alias("delivery"))
 
 
 def request_lines(requests: DataFrame) -> DataFrame:
@@ -39,7 +38,9 @@ def quote_lines(lines: DataFrame, catalogue: DataFrame, strict: bool = True) ->
     asked, names = texts.select("request").distinct(), _names(catalogue)
     first = (first_containing(asked, names).unionByName(first_contained(asked, names))
              .groupBy("request").agg(F.min("ord").alias("ord")))
-    matched = first.join(_priced(catalogue, strict), "ord").drop("ord")
+    matched = first.join(_entries(catalogue), "ord").select(
+        "request", "service", price_value(F.col("price_text"), strict).alias("price"),
+        price_is_from(F.col("price_text")).alias("is_from"), "delivery")
     priced = texts.join(matched, "request").drop("request")
     return lines.join(priced, "requested", "left").select(
         "quote_id", "line", "requested", "service", "price", "is_from", "delivery")
@@ -51,9 +52,8 @@ def maintenance_lines(requests: DataFrame, catalogue: DataFrame, strict: bool =
     wanted = requests.where("months > 0").select("quote_id", "months", name.alias("requested"))
     texts = wanted.select("requested").distinct().withColumn("request", fold_accents(F.col("requested")))
     first = first_containing(texts.select("request").distinct(), _names(catalogue))
-    priced = _priced(catalogue, strict).select(
-        "ord", F.col("service").alias("plan_service"), F.col("price").alias("monthly"))
-    plans = texts.join(first, "request").join(priced, "ord").drop("ord", "request")
+    plans = texts.join(first, "request").join(_entries(catalogue), "ord").select(
+        "requested", F.col("service").alias("plan_service"), price_value(F.col("price_text"), strict).alias("monthly"))
     return wanted.join(plans, "requested", "left").select(
         "quote_id", "requested", "plan_service", "monthly", "months",
         (F.col("monthly") * F.col("months")).alias("cost"))
@@ -77,23 +77,24 @@ def unmatched_lines(lines: DataFrame, maintenance: DataFrame) -> DataFrame:
 
 
 def quotes(requests: DataFrame, catalogue: DataFrame, strict: bool = True) -> DataFrame:
-    """One nested quote per request; parts that do not apply are NULL."""
-    lines = quote_lines(request_lines(requests), catalogue, strict)
-    maintenance = maintenance_lines(requests, catalogue, strict)
-    detail = (lines.where("service IS NOT NULL").groupBy("quote_id")
-              .agg(F.sort_array(F.collect_list(F.struct("line", "service", "price", "is_from", "delivery"))).alias("ls"))
-              .select("quote_id", F.transform("ls", lambda x: F.struct(
-                  x["service"].alias("service"), x["price"].alias("price"),
-                  x["is_from"].alias("is_from"), x["delivery"].alias("delivery"))).alias("lines")))
-    missing = unmatched_lines(lines, maintenance).groupBy("quote_id").agg(
-        F.sort_array(F.collect_list(F.struct("line", "requested")))["requested"].alias("unmatched"))
-    plan = maintenance.where("plan_service IS NOT NULL").select("quote_id", F.struct(
-        F.col("plan_service").alias("plan"), F.col("monthly"), F.col("months"), F.col("cost").alias("total")
-    ).alias("maintenance"))
-    ids = requests.select("quote_id")
-    return (quote_totals(ids, lines, maintenance)
-            .join(detail, "quote_id", "left").join(plan, "quote_id", "left").join(missing, "quote_id", "left")
-            .select("quote_id",
-                    F.coalesce("lines", F.array().cast(dict(detail.dtypes)["lines"])).alias("lines"),
-                    "subtotal", "maintenance", "total", F.lit(K.PAYMENT_TERMS).alias("payment_terms"),
-                    F.when(F.col("has_from"), F.lit(K.FROM_PRICE_NOTE)).alias("note"), "unmatched"))
+    """One nested quote per request, also for one without services; parts that do not apply are NULL.
+
+    Service and maintenance lines meet in one aggregation per quote.
+    """
+    services = quote_lines(request_lines(requests), catalogue, strict).withColumn("kind", F.lit(0))
+    plans = maintenance_lines(requests, catalogue, strict).withColumn("kind", F.lit(1))
+    said, planned = F.col("service").isNotNull(), F.col("plan_service").isNotNull()
+    found = services.unionByName(plans, allowMissingColumns=True).groupBy("quote_id").agg(
+        F.sort_array(F.collect_list(F.when(said, F.struct("line", "service", "price", "is_from", "delivery")))).alias("ls"),
+        F.coalesce(F.sum("price"), F.lit(0.0)).alias("subtotal"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("added"),
+        F.bool_or("is_from").alias("has_from"),
+        F.max(F.when(planned, F.struct(F.col("plan_service").alias("plan"), "monthly", "months", F.col("cost").alias("total")))).alias("maintenance"),
+        F.sort_array(F.collect_list(F.when(~said & ~planned, F.struct("kind", "line", "requested")))).alias("missing"))
+    lines = F.transform("ls", lambda x: F.struct(x["service"].alias("service"), x["price"].alias("price"),
+                                                 x["is_from"].alias("is_from"), x["delivery"].alias("delivery")))
+    quoted = found.select("quote_id", lines.alias("lines"), "subtotal", "maintenance", (F.col("subtotal") + F.col("added")).alias("total"),
+                          "has_from", F.when(F.size("missing") > 0, F.col("missing")["requested"]).alias("unmatched"))
+    return (requests.select("quote_id").join(quoted, "quote_id", "left").select(
+        "quote_id", F.coalesce("lines", F.array().cast(dict(quoted.dtypes)["lines"])).alias("lines"),
+        F.coalesce("subtotal", F.lit(0.0)).alias("subtotal"), "maintenance", F.coalesce("total", F.lit(0.0)).alias("total"),
+        F.lit(K.PAYMENT_TERMS).alias("payment_terms"), F.when(F.col("has_from"), F.lit(K.FROM_PRICE_NOTE)).alias("note"), "unmatched"))

@@ -249,7 +249,7 @@ unmatched AS (SELECT quote_id, string_agg(requested, '; ' ORDER BY line, request
 SELECT quote_id, coalesce(lines, '') AS lines, round(subtotal, 2) AS subtotal, plan_service AS plan,
   round(CASE WHEN plan_service IS NOT NULL THEN cost END, 2) AS maintenance, round(total, 2) AS total,
   '{K.PAYMENT_TERMS}' AS payment_terms, CASE WHEN has_from THEN {_text(K.FROM_PRICE_NOTE)} END AS note, unmatched
-FROM totals JOIN listed USING (quote_id) LEFT JOIN maintenance USING (quote_id) LEFT JOIN unmatched USING (quote_id)""",
+FROM totals LEFT JOIN listed USING (quote_id) LEFT JOIN maintenance USING (quote_id) LEFT JOIN unmatched USING (quote_id)""",
     "index_replace": """WITH files AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND lang = 'es')
 SELECT source AS file_name, doc_id AS doc_seq, text FROM documents WHERE source NOT IN (SELECT source FROM files)
 UNION ALL SELECT source, doc_id, 'v2 ' || text FROM documents

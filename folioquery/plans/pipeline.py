@@ -1,11 +1,27 @@
 """The user-level jobs: ingest a folder, re-index files, answer a table of questions."""
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery import constants as K
 from folioquery.operators import answers as A, chunking, dense, index as I, lexical
 from folioquery.operators.providers import Embedder, vectorise
+from folioquery.sources.categories import folder_categories
 from folioquery.sources.corpus import load_documents
+from folioquery.sources.files import literal_path
+
+
+def _with_override(spark: SparkSession, paths: str | list[str], options: dict) -> dict:
+    """Source options with the category file of each folder read from, unless the caller names an override."""
+    if "override" in options:
+        return options
+    folders = [paths.rstrip("/")] if isinstance(paths, str) else sorted({p.rpartition("/")[0] for p in paths})
+    maps = [folder_categories(spark, f"{folder}/{K.CATEGORY_FILE}") for folder in folders if not re.search(r"[*?{]", folder)]
+    if not maps:
+        return options
+    return options | {"override": reduce(DataFrame.unionByName, maps).dropDuplicates(["file_name"])}
 
 
 def ingest(spark: SparkSession, folder: str | list[str], index_path: str, buckets: int = I.BUCKETS,
@@ -13,10 +29,10 @@ def ingest(spark: SparkSession, folder: str | list[str], index_path: str, bucket
            **source_options) -> DataFrame:
     """Read, chunk, vectorise and write the index; returns units and chunks per file.
 
-    The chunk numbers are read back from the written index, so the corpus is only parsed twice: for its units and
-    for the write.
+    Chunk counts are read back from the written index; the corpus is parsed for its units, for the numbering and for
+    the write.
     """
-    documents = load_documents(spark, folder, **source_options)
+    documents = load_documents(spark, folder, **_with_override(spark, folder, source_options))
     chunks = chunking.with_chunk_id(chunking.recursive_chunks(documents, size, overlap))
     I.build_index(vectorise(chunks, embed), index_path, buckets=buckets)
     written = I.read_index(spark, index_path).groupBy("file_name").agg(F.count("*").alias("chunks"))
@@ -28,7 +44,7 @@ def reindex(spark: SparkSession, paths: list[str], index_path: str, buckets: int
             size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, embed: Embedder | None = None,
             **source_options) -> None:
     """Replace the chunks of the given files. Their chunk_id restarts at 0, as for any batch of its own."""
-    documents = load_documents(spark, paths, **source_options)
+    documents = load_documents(spark, [literal_path(p) for p in paths], **_with_override(spark, paths, source_options))
     chunks = chunking.with_chunk_id(chunking.recursive_chunks(documents, size, overlap))
     files = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1],) for p in paths], "file_name string")
     I.replace_files(spark, index_path, vectorise(chunks, embed), files, buckets)

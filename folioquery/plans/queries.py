@@ -298,7 +298,7 @@ def quote_unmatched(spark, sf):
 def nested_quotes(spark, sf):
     services = _lines(spark, sf).groupBy("quote_id").agg(
         F.sort_array(F.collect_list(F.struct("line", "requested")))["requested"].alias("services"))
-    full = quotes.quotes(_requests(spark, sf).join(services, "quote_id"), _catalogue(spark, sf))
+    full = quotes.quotes(_requests(spark, sf).join(services, "quote_id", "left"), _catalogue(spark, sf))
     said = F.transform("lines", lambda x: F.concat_ws("|", x["service"], F.round(x["price"], 2).cast("string"),
                                                       x["is_from"].cast("string"), x["delivery"]))
     return full.select("quote_id", F.array_join(said, "; ").alias("lines"), F.round("subtotal", 2).alias("subtotal"),

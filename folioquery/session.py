@@ -23,12 +23,14 @@ def shuffle_width(spark: SparkSession) -> int:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder, so that later stages survive lost executors.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset does it
-    fall back to a folder next to the warehouse, which executors share as well.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only a local session without it, as in tests, gets
+    a folder next to its warehouse.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
 

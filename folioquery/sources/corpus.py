@@ -9,14 +9,15 @@ from folioquery.sources.categories import with_category
 from folioquery.sources.files import any_case
 from folioquery.sources.html import html_documents
 from folioquery.sources.office import office_documents, sheet_sentences, slide_documents, word_sections
-from folioquery.sources.sections import Field, entity_documents, markdown_documents
+from folioquery.sources.sections import Field, entity_documents, keyed_entity_documents, markdown_documents
 from folioquery.sources.tables import csv_documents
 
 Loader = Callable[[SparkSession, str | list[str], str | None], DataFrame]
 
 
 def loaders(fields: list[Field] | None = None, **csv_options) -> dict[str, Loader]:
-    """Suffix -> scan. JSON needs the field layout of its entities. Callers may add or replace entries.
+    """Suffix -> scan. Without the field layout of its entities JSON is read with its keys as labels. Callers may add
+    or replace entries.
 
     Page texts of PDF files come from an extractor of the user's choice through ``page_documents``.
     """
@@ -29,8 +30,8 @@ def loaders(fields: list[Field] | None = None, **csv_options) -> dict[str, Loade
         ".htm": html_documents,
         ".pptx": lambda spark, paths, glob: office_documents(spark, paths, glob, slide_documents),
     }
-    if fields:
-        registry[".json"] = lambda spark, paths, glob: entity_documents(spark, paths, fields, glob)
+    registry[".json"] = ((lambda spark, paths, glob: entity_documents(spark, paths, fields, glob)) if fields
+                         else keyed_entity_documents)
     return registry
 
 

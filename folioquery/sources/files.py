@@ -1,5 +1,7 @@
 """Shared pieces of the file scans."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioquery.schema import DOCUMENTS
@@ -10,6 +12,11 @@ def any_case(suffix: str) -> str:
     return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
+def literal_path(path: str) -> str:
+    """A path whose name is meant as it is: characters of glob patterns are escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def metadata_name() -> Column:
     """Base name of the scanned file; the metadata column holds it URL-encoded."""
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))

@@ -1,6 +1,8 @@
 """Web pages as sections, with column expressions only: every page stays in its row, nothing shuffles."""
 
-from html.entities import name2codepoint
+import json
+from functools import cache
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,22 +12,42 @@ from folioquery.sources.files import as_documents, whole_texts
 
 _HEADING = "|".join(K.HTML_HEADING_TAGS)
 _SELECTED = "|".join(K.HTML_HEADING_TAGS + K.HTML_TEXT_TAGS)
-_MARKUP = r"<!--.*?-->|<[^>]+>"
+_MARKUP = r"(?s)<!--.*?-->|<[^>]+>"
+_CUT = "\x01"  # stands for a piece of markup
+_REPLACEMENT = 0xFFFD
 _OTHER_TAG = rf"<!--.*?-->|<(?!/?(?:{_SELECTED})\b)[^>]*>"
 
 
+@cache
+def _named_references() -> str:
+    return json.dumps({f"&{name}": text for name, text in html5.items() if name.endswith(";")})
+
+
+@cache
+def _windows_codes() -> list[int]:
+    """What references to 128 ... 159 mean: the characters of the Windows code page at these places."""
+    return [ord(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(128, 160)]
+
+
 def decode_entities(text: Column) -> Column:
-    """Named (HTML 4 table of the standard library) and numeric character references."""
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items()
-                           for x in (f"&{name};", chr(code))])
+    """Named (HTML 5 table of the standard library) and numeric character references.
 
-    def numeric(ref: Column, digits: int, base: int) -> Column:
-        number = F.conv(F.regexp_extract(ref, r"([0-9A-Fa-f]+);$", 1), base, 16)
-        return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+    References to no character - surrogates, zero, beyond the last code point - become the replacement character.
+    """
+    names = F.from_json(F.lit(_named_references()), "map<string,string>")
+
+    def numeric(ref: Column, base: int) -> Column:
+        digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9A-Fa-f]*);$", 1)
+        number = F.when(F.length(digits) > 7, F.lit(_REPLACEMENT)).otherwise(
+            F.coalesce(F.conv(F.when(digits == "", "0").otherwise(digits), base, 10).cast("int"), F.lit(_REPLACEMENT)))
+        code = (F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit(_REPLACEMENT))
+                .when(number.between(128, 159), F.get(F.array(*map(F.lit, _windows_codes())), number - 128))
+                .otherwise(number))
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
     def decoded(piece: Column) -> Column:
-        return (F.when(piece.rlike(r"^&#[0-9]{1,7};$"), numeric(piece, 7, 10))
-                .when(piece.rlike(r"^&#[xX][0-9A-Fa-f]{1,6};$"), numeric(piece, 6, 16))
+        return (F.when(piece.rlike(r"^&#[0-9]+;$"), numeric(piece, 10))
+                .when(piece.rlike(r"^&#[xX][0-9A-Fa-f]+;$"), numeric(piece, 16))
                 .when(piece.rlike(r"^&[A-Za-z0-9]+;$"), F.coalesce(F.try_element_at(names, piece), piece))
                 .otherwise(piece))
 
@@ -34,10 +56,13 @@ def decode_entities(text: Column) -> Column:
 
 
 def visible_text(markup: Column) -> Column:
-    """Text nodes stripped and joined by one space."""
-    text = F.regexp_replace(markup, "&nbsp;|&#160;", " ")
-    text = F.regexp_replace(text, rf"(?sU)(?:\s*(?:{_MARKUP})\s*)+", " ")
-    return strip(decode_entities(strip(text)))
+    """Text nodes stripped and joined by one space.
+
+    No pattern repeats a group: Java's matcher recurses on those, which overflows its stack on long runs of tags.
+    """
+    text = F.regexp_replace(F.regexp_replace(markup, "&nbsp;|&#160;", "\u00a0"), _MARKUP, _CUT)
+    nodes = F.filter(F.transform(F.split(text, _CUT), strip), lambda node: node != "")
+    return strip(decode_entities(F.array_join(nodes, " ")))
 
 
 def html_sections(texts: DataFrame) -> DataFrame:
@@ -53,7 +78,7 @@ def html_sections(texts: DataFrame) -> DataFrame:
     title = F.when(title == "", F.lit(K.FIRST_SECTION)).otherwise(strip(decode_entities(title)))
     body = F.regexp_replace("page", r"(?is)^.*?<body\b[^>]*>", "")
     no_empty_headings = F.regexp_replace(
-        body, rf"(?is)<({_HEADING})\b[^>]*>(?:\s|&nbsp;|&#160;|{_OTHER_TAG})*</\1\s*>", "")
+        body, rf"(?is)<({_HEADING})\b[^>]*>(?:\s|&nbsp;|&#160;|{_OTHER_TAG})*+</\1\s*>", "")
 
     def section_of(part: Column) -> Column:
         """(heading or NULL, texts) of one stretch between headings."""

@@ -59,6 +59,27 @@ def entity_documents(spark: SparkSession, paths, fields: list[Field], glob: str
         F.concat_ws("\n", *lines).alias("text")), "json")
 
 
+def keyed_entity_documents(spark: SparkSession, paths, glob: str | None = None, array: str = "casos_de_uso") -> DataFrame:
+    """Entities of any layout: a line ``Key: value.`` per field in file order, lists joined by ``; ``.
+
+    The first field names the section; a file without the array gives no rows.
+    """
+    contents = scan(spark, "text", paths, glob, wholetext=True)
+    items = contents.select("file_name", F.posexplode(F.from_json(
+        F.get_json_object("value", f"$.{array}"), "array<map<string,string>>")).alias("doc_seq", "e"))
+
+    def line(entry):
+        label = F.concat(F.upper(F.substring(entry["key"], 1, 1)), F.replace(F.substring(entry["key"], 2, 10_000), F.lit("_"), F.lit(" ")))
+        listed = F.from_json(entry["value"], "array<string>")
+        value = F.when(entry["value"].startswith("["), F.array_join(listed, "; ")).otherwise(entry["value"])
+        return F.concat(label, F.lit(": "), F.coalesce(value, F.lit("")), F.lit("."))
+
+    fields = F.map_entries("e")
+    return as_documents(items.select(
+        "file_name", "doc_seq", F.get(fields, F.lit(0))["value"].alias("section"),
+        F.array_join(F.transform(fields, line), "\n").alias("text")), "json")
+
+
 def page_documents(pages: DataFrame, fmt: str = "pdf") -> DataFrame:
     """Already extracted page texts (file_name, page, text): cleaned, empty pages dropped."""
     units = pages.where(has_text(F.col("text"))).select(

@@ -10,21 +10,42 @@ from folioquery.sources.files import as_documents, metadata_name
 _CSV = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
+def _widest_header(spark: SparkSession, paths: str | list[str], glob: str | None) -> int:
+    """Upper bound of the columns of any header: the separators of a file's first line, or, if a quoted cell of
+    it goes on in the next line, those of the whole file."""
+    lines = spark.read.text(paths, **({"pathGlobFilter": glob} if glob else {})).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("read_order"), "value")
+
+    def times(text, sign: str):
+        return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+    files = lines.groupBy("file_path").agg(
+        F.min(F.struct("block", "read_order", times(F.col("value"), ",").alias("first"),
+                       (times(F.col("value"), '"') % 2 == 1).alias("goes_on"))).alias("head"),
+        F.sum(times(F.col("value"), ",")).alias("all"))
+    width = F.when(F.col("head.goes_on"), F.col("all")).otherwise(F.col("head.first")) + 1
+    return files.agg(F.max(width)).first()[0] or 1
+
+
 def csv_cells(spark: SparkSession, paths: str | list[str], glob: str | None = None,
-              multi_line: bool = True, max_columns: int = 64) -> DataFrame:
-    """Records of CSV files that may all differ in their header.
+              multi_line: bool = True) -> DataFrame:
+    """Records of CSV files that may all differ in their header, of any width.
+
+    A first pass over the lines finds the widest header; a record wider than that fails the job.
 
     Returns file_name, row_no (first data record = 2), headers and cells. With ``multi_line`` a quoted
     cell may hold line breaks, which keeps each file in one task; without it a large file is read by
     many tasks and its records are numbered per split, then shifted by the counts of earlier splits.
     """
-    names = [f"c{i}" for i in range(max_columns + 1)]
+    widest = _widest_header(spark, paths, glob)
+    names = [f"c{i}" for i in range(widest + 1)]
     reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-    reader = reader.options(header=False, multiLine=multi_line, **_CSV)
+    reader = reader.options(header=False, multiLine=multi_line, maxColumns=max(20480, widest + 2), **_CSV)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     fits = F.when(F.col(names[-1]).isNotNull(), F.raise_error(F.lit(
-        f"CSV record with more than {max_columns} columns: raise max_columns"))).otherwise(F.lit(True))
+        f"CSV record with more than the {widest} columns of the widest header"))).otherwise(F.lit(True))
     records = reader.csv(paths).select(
         F.col("_metadata.file_path").alias("file_path"),
         metadata_name().alias("file_name"),

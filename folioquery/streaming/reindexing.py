@@ -1,7 +1,5 @@
 """Files that arrive in a landing folder are re-indexed as they come."""
 
-from urllib.parse import unquote, urlparse
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,8 +24,7 @@ def watch_folder(spark: SparkSession, landing: str, index_path: str, checkpoint:
         newest = batch.select("path", "modificationTime", name.alias("name")).groupBy("name").agg(
             F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
         # Paths only, and no more than files_per_batch of them.
-        paths = [unquote(urlparse(row.path).path) if row.path.startswith("file:") else row.path
-                 for row in newest.select("path").collect()]
+        paths = [row.path for row in newest.select("path").collect()]
         if paths:
             reindex(batch.sparkSession, paths, index_path, **options)
 

@@ -8,15 +8,15 @@ from folioquery.operators.quotes import quotes
 from folioquery.sources.tables import price_catalogue
 
 PRICES = """categoria,servicio,paquete,precio_usd,modalidad,plazo_entrega,incluye
-A,Automatización simple (1 flujo hasta 3 pasos),U,desde 250,P,3-5 días hábiles,"uno, dos"
-A,Automatización avanzada (proceso completo),U,desde 1200,P,2-3 semanas,x
-B,Chatbot de atención al cliente (web),U,desde 800,P,1-3 semanas,x
-B,Chatbot de atención al cliente (WhatsApp),U,desde 1000,P,2-3 semanas,x
-C,Starter,Q,450,P,1 semana,x
-C,Pro,Q,1400,P,2-3 semanas,x
-D,Mantenimiento Básico,M,80,M,Continuo,x
-D,Mantenimiento Pro,M,150,M,Continuo,x
-E,Consultoría de automatización por hora,U,45,H,Según agenda,x
+A,Poda de seto (hasta dos metros),U,desde 30,P,un día,"uno, dos"
+A,Poda de árbol prolongada,U,desde 210,P,tres días,x
+B,Césped en rollo,U,90,P,dos días,x
+C,Riego (goteo),U,120,P,cuatro días,x
+C,Pro,Q,310,P,una semana,x
+D,Mantenimiento Lite,M,15,M,siempre,x
+D,Mantenimiento Pro,M,25,M,siempre,x
+E,Visita de jardinería,U,20,H,a convenir,x
+E,Estanque,U,a convenir,P,un mes,x
 """
 REQUESTS = "quote_id long, services array<string>, months int, plan string"
 
@@ -39,21 +39,34 @@ def test_catalogue_order(catalogue):
 
 
 def test_quotes(spark, catalogue):
-    chat, starter, mixed, none, first, plans = quote(
+    tree, turf, folded, none, first, plans, nothing = quote(
         spark, catalogue,
-        (["Chatbot de atención al cliente (WhatsApp)"], 6, "Pro"), (["Starter"], 0, None),
-        (["automatizacion simple", "consultoría de automatización por hora"], -1, "Pro"),
-        (["desarrollo de videojuegos"], 2, "Oro"), (["Pro", "el paquete starter por favor", ""], 0, None),
-        ([], 2, None))
-    assert chat.lines[0].price == 1000 and chat.maintenance.total == 900 and chat.total == 1900
-    assert chat.subtotal == 1000 and chat.note == K.FROM_PRICE_NOTE and chat.payment_terms == K.PAYMENT_TERMS
-    assert (starter.total, starter.maintenance, starter.note, starter.unmatched) == (450, None, None, None)
-    assert (mixed.total, len(mixed.lines), mixed.maintenance) == (295, 2, None)
+        (["Poda de árbol prolongada"], 4, "Pro"), (["Césped en rollo"], 0, None),
+        (["poda de seto", "VISITA DE JARDINERIA"], -1, "Pro"),
+        (["piscina"], 2, "Oro"), (["Pro", "quiero riego (goteo) en casa", ""], 0, None), ([], 2, None), (None, 0, None))
+    assert tree.lines[0].price == 210 and tree.maintenance.total == 100 and tree.total == 310
+    assert tree.subtotal == 210 and tree.note == K.FROM_PRICE_NOTE and tree.payment_terms == K.PAYMENT_TERMS
+    assert (turf.total, turf.maintenance, turf.note, turf.unmatched) == (90, None, None, None)
+    assert (folded.total, len(folded.lines), folded.maintenance) == (50, 2, None)
     assert (none.total, none.lines) == (0, [])
-    assert none.unmatched == ["desarrollo de videojuegos", "Mantenimiento Oro"]
+    assert none.unmatched == ["piscina", "Mantenimiento Oro"]
     # The first entry in file order wins, also for a short name inside a longer word and for an empty request.
-    assert [x.price for x in first.lines] == [1200, 450, 250]
-    assert (plans.subtotal, plans.total, plans.maintenance.plan) == (0, 300, "Mantenimiento Pro")
+    assert [x.price for x in first.lines] == [210, 120, 30]
+    assert (plans.subtotal, plans.total, plans.maintenance.plan) == (0, 50, "Mantenimiento Pro")
+    assert (nothing.lines, nothing.total, nothing.unmatched) == ([], 0, None)
+
+
+def test_names_in_letters_that_come_apart(spark):
+    cat = spark.createDataFrame([(1, "한국 정원", "7", "d"), (2, "ൊ x", "8", "d")],
+                                "cat_ord long, servicio string, precio_usd string, plazo_entrega string")
+    hangul, malayalam = quote(spark, cat, (["하"], 0, None), (["ാ x"], 0, None))
+    assert (hangul.total, malayalam.total) == (7, 8)
+
+
+def test_quotes_read_the_catalogue_a_few_times_only(spark, catalogue):
+    df = quotes(spark.createDataFrame([(1, ["Pro"], 1, "Pro")], REQUESTS), catalogue)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") <= 15
 
 
 def test_containment_against_all_pairs(spark):

@@ -32,10 +32,20 @@ def test_csv_split_over_tasks_keeps_row_numbers(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(i + 2, f"n: {i}. sq: {i * i}") for i in range(5000)]
 
 
-def test_csv_too_wide_fails_instead_of_dropping(spark, tmp_path):
-    (tmp_path / "w.csv").write_text("a,b,c\n1,2,3\n", encoding="utf-8")
-    with pytest.raises(Exception, match="max_columns"):
-        tables.csv_documents(spark, str(tmp_path), max_columns=2).collect()
+@pytest.mark.parametrize("width, empty", [(70, 64), (200, None)])
+def test_csv_of_any_width(spark, tmp_path, width, empty):
+    head = ["" if i == empty else f"h{i}" for i in range(width)]
+    cells = ["" if i == empty else str(i) for i in range(width)]
+    (tmp_path / "w.csv").write_text(",".join(head) + "\n" + ",".join(cells) + "\n", encoding="utf-8")
+    (tmp_path / "n.csv").write_text('"a\nb",c\n1,2\n', encoding="utf-8")
+    got = rows(tables.csv_documents(spark, str(tmp_path)), "file_name", "text")
+    assert got == [("n.csv", "a\nb: 1. c: 2"), ("w.csv", ". ".join(f"h{i}: {i}" for i in range(width) if i != empty))]
+
+
+def test_csv_record_wider_than_every_header_fails(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("a,b\n1,2,3\n", encoding="utf-8")
+    with pytest.raises(Exception, match="widest header"):
+        tables.csv_documents(spark, str(tmp_path)).collect()
 
 
 def test_markdown_sections(spark, tmp_path):
@@ -61,13 +71,31 @@ def test_entities(spark, tmp_path):
     assert loose[0][0].endswith("Servicios relacionados: a, b.")
 
 
+def test_entities_of_unknown_layout(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"x": 1, "casos_de_uso": [{"area": "Moss", "known_uses": ["roof", "pot"], "n": 2}]}', encoding="utf-8")
+    (tmp_path / "none.json").write_text("{}", encoding="utf-8")
+    got = rows(corpus.load_documents(spark, str(tmp_path)), "section", "text")
+    assert got == [("Moss", "Area: Moss.\nKnown uses: roof; pot.\nN: 2.")]
+
+
 def test_html_sections(spark, tmp_path):
-    (tmp_path / "faq.html").write_text(
-        "<html><head><title>FAQ</title><script>var x=1;</script></head>"
-        "<body><h2>Envíos</h2><p>Entregamos en 3 días.</p><h2>Pagos</h2><p>Aceptamos tarjeta.</p></body></html>",
+    (tmp_path / "moss.html").write_text(
+        "<html><head><title>Moss</title><style>p {}</style></head>"
+        "<body><h2>Shade</h2><p>Grows on the north side.</p><h2>Water</h2><p>Drinks <i>fog</i>.</p></body></html>",
         encoding="utf-8")
     got = rows(html.html_documents(spark, str(tmp_path)), "section", "text", "format")
-    assert got == [("Envíos", "Envíos\nEntregamos en 3 días.", "html"), ("Pagos", "Pagos\nAceptamos tarjeta.", "html")]
+    assert got == [("Shade", "Shade\nGrows on the north side.", "html"), ("Water", "Water\nDrinks fog .", "html")]
+
+
+def test_html_long_runs_and_odd_references(spark):
+    pages = {"br": "<p>a" + "<br>" * 100_000 + "b</p>", "space": "<h2>" + " " * 100_000 + "Head</h2><p>x</p>",
+             "empty": "<p>u</p><h2>" + " <b> </b>" * 50_000 + "</h2><p>v</p>",
+             "refs": "<p>&apos;&#9999999;&#xD800;&#0;&#150;&#99999999999;&NotEqualTilde;&CounterClockwiseContourIntegral;</p>"}
+    df = html.html_sections(spark.createDataFrame(list(pages.items()), "file_name string, content string"))
+    got = {r.file_name: (r.section, r.text) for r in df.collect()}
+    odd = "'\ufffd\ufffd\ufffd\u2013\ufffd\u2242\u0338\u2233"
+    assert got == {"br": ("Inicio", "Inicio\na b"), "space": ("Head", "Head\nx"), "empty": ("Inicio", "Inicio\nu v"),
+                   "refs": ("Inicio", "Inicio\n" + odd)}
 
 
 def test_html_quirks(spark):
@@ -80,27 +108,27 @@ def test_html_quirks(spark):
 
 
 def test_docx(spark, tmp_path):
-    office.write_docx(tmp_path / "p.docx", office.par("before") + office.par("Viáticos", "T1") + office.par(" 15 días ")
-                      + office.word_table([["Concepto", "Tope"], ["Hotel", "USD 80"], ["Taxi", ""]])
+    office.write_docx(tmp_path / "p.docx", office.par("before") + office.par("Lichens", "T1") + office.par(" slow growth ")
+                      + office.word_table([["Kind", "Hue"], ["Crust", "grey 80"], ["Leaf", ""]])
                       + office.word_table([["lonely"]]) + office.par("Nada", "T1"))
     got = rows(office_source.office_documents(spark, str(tmp_path), None, office_source.word_sections), "section", "text")
-    assert got == [("Inicio", "Inicio\nbefore"), ("Viáticos", "Viáticos\n15 días"),
-                   ("tabla 1", "Concepto: Hotel. Tope: USD 80"), ("tabla 1", "Concepto: Taxi")]
+    assert got == [("Inicio", "Inicio\nbefore"), ("Lichens", "Lichens\nslow growth"),
+                   ("tabla 1", "Kind: Crust. Hue: grey 80"), ("tabla 1", "Kind: Leaf")]
 
 
 def test_xlsx(spark, tmp_path):
     office.write_xlsx(tmp_path / "i.xlsx", {
-        "Bodega": [["SKU", "Stock"], ["A1", 10], [None, None], ["A2", 2.5], [None, (45292,)]], "Vacía": [["x"]]})
+        "Seeds": [["Bed", "Rows"], ["N", 10], [None, None], ["S", 2.5], [None, (45292,)]], "Vacía": [["x"]]})
     got = rows(office_source.office_documents(spark, str(tmp_path), None, office_source.sheet_sentences),
                "section", "row_no", "text")
-    assert got == [("Bodega", 2, "SKU: A1. Stock: 10"), ("Bodega", 4, "SKU: A2. Stock: 2.5"),
-                   ("Bodega", 5, "Stock: 2024-01-01 00:00:00")]
+    assert got == [("Seeds", 2, "Bed: N. Rows: 10"), ("Seeds", 4, "Bed: S. Rows: 2.5"),
+                   ("Seeds", 5, "Rows: 2024-01-01 00:00:00")]
 
 
 def test_pptx(spark, tmp_path):
-    office.write_pptx(tmp_path / "s.pptx", [(["Plan comercial", "uno\ndos"], "Enfatizar el ROI."), ([], None), (["Fin"], None)])
+    office.write_pptx(tmp_path / "s.pptx", [(["Pond plants", "uno\ndos"], "Mention frogs."), ([], None), (["Fin"], None)])
     got = rows(office_source.office_documents(spark, str(tmp_path), None, office_source.slide_documents), "slide", "text")
-    assert got == [(1, "Plan comercial\nuno\ndos\nNotas del orador: Enfatizar el ROI."), (3, "Fin")]
+    assert got == [(1, "Pond plants\nuno\ndos\nNotas del orador: Mention frogs."), (3, "Fin")]
 
 
 def test_pages_keep_their_numbers(spark):
