@@ -127,11 +127,16 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, key: str = "chunk_key",
     """Exact best k chunks per question: (question_id, rank, score, key).
 
     questions: (question_id, vector, category), category empty or NULL for all; chunks: (key, category,
-    vector). Vectors of length zero match nothing.
+    vector). Vectors of length zero match nothing. A category is a cell, so a question that names one meets the
+    vectors of that category only.
     """
-    asks = _packs(_whole(_filters(questions)), "question_id", "category")
-    packs = _packs(_whole(chunks), key, "category")
-    hits = _score_packs(asks, packs, shuffle_width(chunks.sparkSession), k, threshold, metric)
+    placed = _by_category(chunks)
+    wanted = _filters(questions)
+    every = placed.select("cell").distinct()  # one row per category
+    asks = _by_category(wanted.where("category IS NOT NULL")).unionByName(
+        wanted.where("category IS NULL").crossJoin(F.broadcast(every)))
+    hits = _score_packs(_packs(asks, "question_id", "category"), _packs(placed, key, "category"),
+                        shuffle_width(chunks.sparkSession), k, threshold, metric)
     return hits.select("question_id", "rank", "score", F.col("key").alias(key))
 
 
@@ -139,8 +144,10 @@ def _filters(questions: DataFrame) -> DataFrame:
     return questions.withColumn("category", F.nullif(F.col("category").cast("string"), F.lit("")))
 
 
-def _whole(df: DataFrame) -> DataFrame:
-    return df.withColumn("cell", F.lit(0))
+def _by_category(df: DataFrame) -> DataFrame:
+    """Cell by category; two categories may share one, so scoring still compares their names."""
+    name = F.coalesce(F.col("category").cast("string"), F.lit(""))
+    return df.withColumn("cell", F.xxhash64(name).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
 
 
 def train_cells(chunks: DataFrame, cells: int = 32, seed: int = 7) -> np.ndarray:

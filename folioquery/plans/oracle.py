@@ -212,6 +212,17 @@ FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1""",
     "dense_topk_filtered": _dense("q.label = c.label"),
     "dense_threshold": _dense(threshold=RELEVANCE_THRESHOLD, score="1 - (2 - 2 * ({})) / sqrt(2.0::DOUBLE)"),
     "cell_topk": _dense(threshold=DENSE_THRESHOLD),
+    "ann_topk": f"""WITH {_VECTORS},
+means AS (SELECT label, i, avg(v[i]) AS m FROM vectors, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY label, i),
+centres AS (SELECT label AS cell, list(m ORDER BY i) AS c FROM means GROUP BY label),
+fits AS (SELECT vec_id, cell, list_dot_product(v, c) / sqrt(list_dot_product(c, c)) AS fit FROM vectors, centres),
+near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY fit DESC, cell) AS nth FROM fits),
+scored AS (SELECT q.vec_id AS question_id, c.vec_id, round(list_dot_product(q.v, c.v) / (q.norm * c.norm), {K.SCORE_DIGITS}) AS score
+           FROM near home JOIN near ask ON ask.cell = home.cell AND ask.nth <= 3
+           JOIN vectors c ON c.vec_id = home.vec_id JOIN vectors q ON q.vec_id = ask.vec_id WHERE home.nth = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored
+           WHERE score >= {DENSE_THRESHOLD}::DOUBLE)
+SELECT question_id, rank, score, vec_id FROM ranked WHERE rank <= {K.TOP_K}""",
     "cited_context": f"WITH {HITS}, {CONTEXT} SELECT question_id, context FROM context",
     "source_records": f"""WITH {HITS} SELECT question_id, rank, file_name, category,
   coalesce(nullif(page, 0)::VARCHAR, nullif(slide, 0)::VARCHAR, nullif(section, ''), nullif(row_no, 0)::VARCHAR, '') AS location,

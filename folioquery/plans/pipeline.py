@@ -12,6 +12,8 @@ from folioquery.sources.categories import folder_categories
 from folioquery.sources.corpus import load_documents
 from folioquery.sources.files import literal_path
 
+SEARCH_FOLDER = "_search"
+
 
 def _with_override(spark: SparkSession, paths: str | list[str], options: dict) -> dict:
     """Source options with the category file of each folder read from, unless the caller names an override."""
@@ -35,6 +37,8 @@ def ingest(spark: SparkSession, folder: str | list[str], index_path: str, bucket
     documents = load_documents(spark, folder, **_with_override(spark, folder, source_options))
     chunks = chunking.with_chunk_id(chunking.recursive_chunks(documents, size, overlap))
     I.build_index(vectorise(chunks, embed), index_path, buckets=buckets)
+    if embed is None:
+        refresh_search(spark, index_path)
     written = I.read_index(spark, index_path).groupBy("file_name").agg(F.count("*").alias("chunks"))
     return (I.units_per_file(documents).join(written, "file_name", "left")
             .select("file_name", "units", F.coalesce("chunks", F.lit(0)).alias("chunks")))
@@ -42,12 +46,28 @@ def ingest(spark: SparkSession, folder: str | list[str], index_path: str, bucket
 
 def reindex(spark: SparkSession, paths: list[str], index_path: str, buckets: int = I.BUCKETS,
             size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, embed: Embedder | None = None,
-            **source_options) -> None:
-    """Replace the chunks of the given files. Their chunk_id restarts at 0, as for any batch of its own."""
+            refresh: bool = True, **source_options) -> None:
+    """Replace the chunks of the given files. Their chunk_id restarts at 0, as for any batch of its own.
+
+    Term weights depend on the whole corpus, so the search index is made anew from the stored word counts; with
+    ``refresh`` off that is left for a later ``refresh_search``, for example after many small batches.
+    """
     documents = load_documents(spark, [literal_path(p) for p in paths], **_with_override(spark, paths, source_options))
     chunks = chunking.with_chunk_id(chunking.recursive_chunks(documents, size, overlap))
     files = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1],) for p in paths], "file_name string")
     I.replace_files(spark, index_path, vectorise(chunks, embed), files, buckets)
+    if embed is None and refresh:
+        refresh_search(spark, index_path)
+
+
+def refresh_search(spark: SparkSession, index_path: str) -> None:
+    """Write the lexical search index next to the chunks, in a folder that scans of the chunks do not see."""
+    lexical.save_lexical_index(lexical.lexical_index(I.read_index(spark, index_path)), f"{index_path}/{SEARCH_FOLDER}")
+
+
+def open_search(spark: SparkSession, index_path: str) -> lexical.LexicalIndex:
+    """The search index as it was last written; ``answer`` takes it as ``index``."""
+    return lexical.load_lexical_index(spark, f"{index_path}/{SEARCH_FOLDER}")
 
 
 def answer(questions: DataFrame, chunks: DataFrame, index: lexical.LexicalIndex | None = None,

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery import constants as K
@@ -182,10 +183,19 @@ def cell_topk(spark, sf):
                            DENSE_THRESHOLD, "vec_id")
 
 
+def label_centres(spark, sf) -> np.ndarray:
+    """Unit mean vector of each label, by label: as many rows as there are labels reach the driver."""
+    means = (table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
+             .groupBy("label", "at").agg(F.avg("x").alias("x")).groupBy("label")
+             .agg(F.sort_array(F.collect_list(F.struct("at", "x")))["x"].alias("centre")).orderBy("label").collect())
+    centres = np.array([row.centre for row in means])
+    return centres / np.linalg.norm(centres, axis=1, keepdims=True)
+
+
 def ann_topk(spark, sf):
-    vectors = _vectors(spark, sf)
-    return dense.cell_topk(_vector_questions(spark, sf, False), vectors, dense.train_cells(vectors),
-                           DENSE_THRESHOLD, "vec_id", probes=8)
+    """Only the cells of the three nearest centres are searched; the centres follow from the labels."""
+    return dense.cell_topk(_vector_questions(spark, sf, False), _vectors(spark, sf), label_centres(spark, sf),
+                           DENSE_THRESHOLD, "vec_id", probes=3)
 
 
 def lexical_topk(spark, sf):

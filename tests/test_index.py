@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from folioquery.operators import index as I, telemetry
-from folioquery.plans.pipeline import ingest, reindex
+from folioquery.plans.pipeline import answer, ingest, open_search, reindex
 from folioquery.streaming import coverage
 from folioquery.streaming.reindexing import watch_folder
 
@@ -58,10 +58,17 @@ def test_ingest_reindex_and_stream(spark, tmp_path):
     ids = I.read_index(spark, path).orderBy("chunk_id").select("chunk_id", "text").collect()
     assert [tuple(r) for r in ids] == [(0, "## Uno\nalfa"), (1, "## Dos\nbeta"), (2, "k: 1. v: x")]
 
+    def found(index):
+        asked = spark.createDataFrame([(1, "gamma epsilon", None), (2, "alfa", None)], "question_id long, question string, category string")
+        rows = answer(asked, I.read_index(spark, path), index, threshold=0.1)
+        return sorted((r.question_id, r.context, r.used_retrieval) for r in rows.select("question_id", "context", "used_retrieval").collect())
+
+    assert [used for _, _, used in found(open_search(spark, path))] == [False, True]
     (docs / "a.md").write_text("## Tres\ngamma", encoding="utf-8")
     reindex(spark, [str(docs / "a.md")], path, buckets=4)
     expected = [("a.md", "General", "## Tres\ngamma"), ("b.csv", "General", "k: 1. v: x")]
     assert content(spark, path) == expected
+    assert found(open_search(spark, path)) == found(None)  # as if the search index were built for the question
 
     landing = tmp_path / "landing"
     for upload, text in (("1", "## Cuatro\ndelta"), ("2 x", "## Cinco\nepsilon")):
@@ -72,6 +79,37 @@ def test_ingest_reindex_and_stream(spark, tmp_path):
         assert content(spark, path) == sorted(expected + [("c d.md", "General", text)])
 
 
+def test_names_with_glob_characters(spark, tmp_path):
+    docs, path, landing = tmp_path / "docs", str(tmp_path / "ix"), tmp_path / "landing"
+    docs.mkdir()
+    (docs / "faq[1] {a} b%41.md").write_text("## Uno\nalfa", encoding="utf-8")
+    (docs / "z.json").write_text('{"casos_de_uso": [{"k": "v"}]}', encoding="utf-8")
+    (docs / "_categorias.json").write_text('{"z.json": "Legal"}', encoding="utf-8")
+    ingest(spark, str(docs), path, buckets=4)
+    assert content(spark, path) == [("faq[1] {a} b%41.md", "General", "## Uno\nalfa"), ("z.json", "Legal", "K: v.")]
+    for n, name in enumerate(("faq[1] {a} b%41.md", "x[2].md")):
+        (docs / name).write_text(f"## Dos\n{n}", encoding="utf-8")
+        reindex(spark, [str(docs / name)], path, buckets=4)
+    (landing / "1").mkdir(parents=True)
+    (landing / "1" / "x[2].md").write_text("## Tres\n", encoding="utf-8")
+    watch_folder(spark, str(landing / "*"), path, str(tmp_path / "ck"), buckets=4).awaitTermination()
+    assert [r[2] for r in content(spark, path)] == ["## Dos\n0", "## Tres", "K: v."]
+
+
+def test_replace_reads_its_buckets_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ix")
+    I.build_index(spark.createDataFrame([(f"f{i}", "L", str(i)) for i in range(40)], CHUNKS), path, buckets=8)
+    plans = []
+    write = I._write
+    monkeypatch.setattr(I, "_write", lambda rows, *a: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(rows, *a)))
+    new = spark.createDataFrame([("f3", "L", "new")], CHUNKS)
+    I.replace_files(spark, path, new, new.select("file_name"), buckets=8)
+    number = spark.range(1).select(I.bucket(F.lit("f3"), 8)).first()[0]
+    filters = next(line for line in plans[0].splitlines() if "PartitionFilters" in line)
+    assert f"(bucket#" in filters and f"= {number})" in filters.split("PartitionFilters:")[1]
+    assert len(content(spark, path)) == 40 and ("f3", "L", "new") in content(spark, path)
+
+
 def test_logs_and_windows(spark, tmp_path):
     stamp = lambda h, m: datetime(2024, 5, 1, h, m)
     rows = [("q1", "ñ", [("a.md",), ("b.md",)], True, 1.234, stamp(9, 5)), ("q2", "no", [], False, 0.5, stamp(9, 50)),
