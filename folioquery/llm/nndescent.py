@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from folioquery.llm.common import removed, written
 
 NEIGHBOURS = 32     # kept per node of the graph
-BLOCK = 256         # vectors compared with each other at the start
-ORDERS = 4          # random orders that are cut into blocks
-ROUNDS = 6          # most rounds of joins
+BLOCK = 512         # vectors compared with each other at the start
+ORDERS = 8          # random orders that are cut into blocks
+ROUNDS = 3          # most rounds of joins
 SETTLED = 0.01      # a round that changes a smaller share of the entries is the last
-BEAM = 128          # best nodes kept per query
-WIDTH = 24          # nodes expanded per query and step
-STEPS = 6           # most steps of a search
+BEAM = 224          # best nodes kept per query
+WIDTH = 45          # nodes expanded per query and step
+STEPS = 5           # most steps of a search
 HALF = "<f2"
 PIVOTS = 256        # start nodes every query is compared with (broadcast)
 
@@ -93,31 +93,36 @@ def list_batch(nodes, nbrs: list, sims: list) -> pa.RecordBatch:
          pa.ListArray.from_arrays(offsets, flat(sims, np.float32))], ["node", "nbrs", "sims"])
 
 
-def best_lists(ids: np.ndarray, sims: np.ndarray, keep: int, above: np.ndarray | None = None) -> tuple[list, list]:
-    """For each row of a square similarity matrix the best other columns, if they beat ``above``."""
-    np.fill_diagonal(sims, -np.inf)
-    keep = min(keep, len(ids) - 1)
+def best_lists(ids: np.ndarray, sims: np.ndarray, above: np.ndarray | None = None) -> tuple[list, list]:
+    """For each row of a square similarity matrix the best other nodes, if they beat ``above``."""
+    sims[ids[:, None] == ids[None, :]] = -np.inf
+    keep = min(NEIGHBOURS, len(ids) - 1)
     if keep <= 0:
         return [np.zeros(0, dtype=np.int64)] * len(ids), [np.zeros(0, dtype=np.float32)] * len(ids)
     top = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
     values = np.take_along_axis(sims, top, axis=1)
-    if above is None:
-        return list(ids[top]), list(values)
-    good = values > above[:, None]
+    good = values > (np.full(len(ids), -np.inf) if above is None else above)[:, None]
     return [ids[t[g]] for t, g in zip(top, good)], [v[g] for v, g in zip(values, good)]
 
 
-def blocks(nodes: DataFrame, count: int, centre: np.ndarray, seed: int) -> DataFrame:
-    """Neighbour lists inside blocks of vectors that follow each other in the order of a few projections."""
+def blocks(nodes: DataFrame, count: int, centre: np.ndarray) -> DataFrame:
+    """Neighbour lists inside blocks of vectors that follow each other in several random orders.
+
+    An order sorts by the sides of a few random planes and the place along a direction. All orders are sorted at once,
+    one after the other; blocks are cut from the sorted ranges.
+    """
+    orders = ORDERS if count > BLOCK else 1
     bits = max(1, math.ceil(math.log2(max(count / BLOCK, 2))))
-    plane = np.random.default_rng(seed).normal(size=(len(centre), bits + 1))
+    plane = np.random.default_rng(5).normal(size=(len(centre), orders * (bits + 1)))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                seen = (matrix(batch.column("vec"), HALF).astype(np.float64) - centre) @ plane
-                key = ((seen[:, :bits] > 0) << np.arange(bits)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(seen[:, bits]), *batch.columns],
+            seen = ((matrix(batch.column("vec"), HALF).astype(np.float64) - centre) @ plane if batch.num_rows
+                    else np.zeros((0, orders * (bits + 1))))
+            for n in range(orders):
+                part = seen[:, n * (bits + 1):(n + 1) * (bits + 1)]
+                key = ((part[:, :bits] > 0) << np.arange(bits)).sum(axis=1) + (n << bits)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(part[:, bits]), *batch.columns],
                                                  ["key", "along", *batch.schema.names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +131,7 @@ def blocks(nodes: DataFrame, count: int, centre: np.ndarray, seed: int) -> DataF
         def compare(table: pa.Table) -> pa.RecordBatch:
             x, extra = matrix(table["vec"], HALF).astype(np.float32), table["extra"].to_numpy().astype(np.float32)
             ids = table["node"].to_numpy()
-            return list_batch(ids, *best_lists(ids, x @ x.T + np.outer(extra, extra), NEIGHBOURS))
+            return list_batch(ids, *best_lists(ids, x @ x.T + np.outer(extra, extra)))
 
         for batch in batches:
             waiting.append(batch)
@@ -142,9 +147,16 @@ def blocks(nodes: DataFrame, count: int, centre: np.ndarray, seed: int) -> DataF
     return placed.repartitionByRange("key", "along", "node").sortWithinPartitions("key", "along", "node").mapInArrow(cut, LISTS)
 
 
+GRAPH = f"{LISTS}, fresh int, vec binary, extra double"
+
+
 def merged_lists(lists: DataFrame) -> DataFrame:
-    """One list per node: its best distinct neighbours. ``fresh`` counts those of lists marked as new."""
-    grouped = lists.groupBy("node").agg(F.collect_list(F.struct("nbrs", "sims", "new")).alias("all"))
+    """One row per node: its best distinct neighbours, its vector, and how many neighbours are new.
+
+    ``lists`` holds lists on offer (new, without vector) and present ones (with the vector of the node).
+    """
+    grouped = lists.groupBy("node").agg(F.collect_list(F.struct("nbrs", "sims", "new")).alias("all"),
+                                        F.max("vec").alias("vec"), F.max("extra").alias("extra"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,26 +171,28 @@ def merged_lists(lists: DataFrame) -> DataFrame:
                 take = order[np.sort(first)][:NEIGHBOURS]
                 nbrs.append(ids[take])
                 sims.append(values[take])
-                fresh.append(int(new[take].sum()))
+                fresh.append(len(np.setdiff1d(ids[take], ids[~new])))
             out = list_batch(batch.column("node"), nbrs, sims)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(fresh, pa.int32())], [*out.schema.names, "fresh"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(fresh, pa.int32()), batch.column("vec"), batch.column("extra")],
+                                             [*out.schema.names, "fresh", "vec", "extra"])
 
-    return grouped.mapInArrow(run, f"{LISTS}, fresh int")
+    return grouped.mapInArrow(run, GRAPH)
 
 
 def around(graph: DataFrame) -> DataFrame:
-    """(centre, node): a node's neighbours and the closest of the nodes it is a neighbour of."""
+    """(centre, node): a node's neighbours and the closest of the nodes it is a neighbour of; pairs may repeat."""
     edges = graph.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.sims").alias("sim"))
     nearest = F.row_number().over(W.partitionBy("nbr").orderBy(F.desc("sim"), "node"))
     back = edges.withColumn("nth", nearest).where(F.col("nth") <= NEIGHBOURS).select(F.col("nbr").alias("centre"), "node")
-    return edges.select(F.col("node").alias("centre"), F.col("nbr").alias("node")).union(back).distinct()
+    return edges.select(F.col("node").alias("centre"), F.col("nbr").alias("node")).union(back)
 
 
-def joined_round(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def joined_round(graph: DataFrame) -> DataFrame:
     """Lists that any two nodes around a common centre offer each other, above what they have already."""
-    worst = graph.select("node", F.when(F.size("sims") >= NEIGHBOURS, F.array_min("sims")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
+    worst = F.when(F.size("sims") >= NEIGHBOURS, F.array_min("sims")).otherwise(F.lit(float("-inf"))).cast("float")
     around_it = around(graph).union(graph.select(F.col("node").alias("centre"), "node"))
-    rows = (around_it.join(nodes, "node").join(worst, "node").repartition("centre").sortWithinPartitions("centre", "node"))
+    rows = (around_it.join(graph.select("node", "vec", "extra", worst.alias("worst")), "node")
+            .repartition("centre").sortWithinPartitions("centre", "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -198,9 +212,9 @@ def joined_round(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             above = table["worst"].to_numpy()
             who, nbrs, sims = [], [], []
             for a, b in zip(starts, np.append(starts[1:], len(ids))):
-                part = x[a:b]
-                found, values = best_lists(ids[a:b], part @ part.T, NEIGHBOURS, above[a:b])
-                for i, f, v in zip(ids[a:b].tolist(), found, values):
+                at = a + np.unique(ids[a:b], return_index=True)[1]
+                found, values = best_lists(ids[at], x[at] @ x[at].T, above[at])
+                for i, f, v in zip(ids[at].tolist(), found, values):
                     if len(f):
                         who.append(i)
                         nbrs.append(f)
@@ -211,15 +225,17 @@ def joined_round(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def neighbour_graph(nodes: DataFrame, count: int, centre: np.ndarray) -> DataFrame:
-    """(node, nbrs, sims): the graph after the last round."""
-    start = [blocks(nodes, count, centre, seed) for seed in range(ORDERS if count > BLOCK else 1)]
-    lists = start[0]
-    for more in start[1:]:
-        lists = lists.union(more)
-    graph = written(merged_lists(lists.withColumn("new", F.lit(True))))
+    """(node, nbrs, sims, vec, extra): the graph after the last round."""
+    def offered(lists: DataFrame) -> DataFrame:
+        return lists.withColumns({"new": F.lit(True), "vec": F.lit(None).cast("binary"), "extra": F.lit(None).cast("double")})
+
+    def present(rows: DataFrame) -> DataFrame:
+        return rows.select("node", "nbrs", "sims", F.lit(False).alias("new"), "vec", "extra")
+
+    none = nodes.withColumns({"nbrs": F.array().cast("array<long>"), "sims": F.array().cast("array<float>")})
+    graph = written(merged_lists(offered(blocks(nodes, count, centre)).union(present(none))))
     for _ in range(ROUNDS if count > BLOCK else 0):
-        offers = joined_round(graph, nodes).withColumn("new", F.lit(True))
-        after = written(merged_lists(offers.union(graph.select("node", "nbrs", "sims", F.lit(False).alias("new")))))
+        after = written(merged_lists(offered(joined_round(graph)).union(present(graph))))
         removed(graph)
         graph = after
         if graph.agg(F.sum("fresh")).first()[0] < SETTLED * NEIGHBOURS * count:
@@ -249,7 +265,7 @@ def state_batch(query_ids, qvecs, states: list[tuple]) -> pa.RecordBatch:
 
 def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     """(query_id, node, score) of the best nodes found; ``queries`` has query_id, qvec and own (its node or null)."""
-    links = written(around(graph).groupBy("centre").agg(F.collect_list("node").alias("linked")))  # at most 2 x NEIGHBOURS
+    links = written(around(graph).groupBy("centre").agg(F.collect_set("node").alias("linked")))  # at most 2 x NEIGHBOURS
     chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).select("node", "vec").toArrow()
     pivots = queries.sparkSession.sparkContext.broadcast((chosen["node"].to_numpy(), matrix(chosen["vec"], HALF).astype(np.float64)))
 
