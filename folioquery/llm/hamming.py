@@ -79,7 +79,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         looked_up = probes[0]
         for more in probes[1:]:
             looked_up = looked_up.union(more)
-        new = looked_up.join(index, ["part", "value"]).select("q", "code", "rows").distinct().withColumn("distance", distance(F.col("q"), F.col("code")))
+        # The planner takes exploded values for a small table; without the hint it would send them to every executor.
+        new = looked_up.hint("merge").join(index.hint("merge"), ["part", "value"]).select("q", "code", "rows").distinct().withColumn("distance", distance(F.col("q"), F.col("code")))
         found = written(new if found is None else new.union(found.join(pending, "q", "left_semi")).distinct())
         covered = len(cuts) * (radius + 1) - 1
         near = found.where(F.col("distance") <= covered)
