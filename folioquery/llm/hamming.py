@@ -40,8 +40,9 @@ def sign_codes(vectors: DataFrame, id_column: str, vector_column: str) -> DataFr
 
 
 def segments(codes: int) -> list[tuple[int, int]]:
-    """(shift, bits) of each segment: about log2 of the number of codes wide."""
-    count = max(2, math.ceil(BITS / max(4, math.ceil(math.log2(max(codes, 2))))))
+    """(shift, bits) of each segment: one bit narrower than log2 of the number of codes, so that a lookup meets two
+    entries or more and one radius less is needed than with wider segments."""
+    count = max(2, math.ceil(BITS / max(4, math.ceil(math.log2(max(codes, 2))) - 1)))
     edges = [BITS * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
