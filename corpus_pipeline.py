@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines are cut out of the texts."""
-    return lines.without_repeated_lines(docs, texts=True)
+    """Later copies of repeated runs are cut out of the texts: three lines, or fewer that hold 50 words."""
+    return lines.without_repeated_lines(docs, texts=True, words=lines.WORDS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

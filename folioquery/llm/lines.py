@@ -4,7 +4,8 @@ Lines get ids that keep an order, and a document is the sequence of its line ids
 all sequences by their first 1, 2, 4 ... lines up to the shortest run looked for; suffixes whose prefix occurs once are
 settled and leave. At that depth the suffixes of one rank are a longest-common-prefix interval of at least
 ``least`` lines. The union of the intervals' later members is every later copy of a maximal repeated run, so deeper
-ranks would not change what is deleted.
+ranks would not change what is deleted. With a least number of words, ranks of every smaller depth count as well, as far
+as their lines hold that many words.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from folioquery.llm.common import text_key, written
 
 LEAST = 3            # lines of the shortest repeated run
+WORDS = 50           # words that make a run of fewer lines long enough where runs are measured by content
 DOC = ["doc_id", "text_key"]
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, k1, k2): the two keys are a 128-bit fingerprint of the line."""
+    """(doc_id, text_key, pos, words, k1, k2): words between blanks, and as keys a 128-bit fingerprint of the line."""
     lines = docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select(*DOC, "pos", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
+    return lines.select(*DOC, "pos", F.regexp_count("line", F.lit("[^ \t\n\r]+")).alias("words"), F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
 
 
 def ranked(suffixes: DataFrame) -> DataFrame:
@@ -38,35 +40,52 @@ def ranked(suffixes: DataFrame) -> DataFrame:
     keys = suffixes.groupBy("k1", "k2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("k1", "k2")
     order = written(keys.repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2")
                     .withColumn("rank", F.monotonically_increasing_id()))
-    return suffixes.join(order, ["k1", "k2"]).select(*DOC, "pos", "rank")
+    return suffixes.join(order, ["k1", "k2"]).drop("k1", "k2")
 
 
-def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, text_key, pos): starts of runs of ``least`` lines that occur earlier, by document and position."""
-    suffixes, depth = ranked(written(line_ids(docs))), 1
+def later_copies(suffixes: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, text_key, pos, size): suffixes of a rank behind the first one, by document and position."""
+    first = suffixes.groupBy("rank").agg(F.min(F.struct(*DOC, "pos")).alias("first"))
+    return suffixes.join(first, "rank").where(F.struct(*DOC, "pos") > F.col("first")).select(*DOC, "pos", F.lit(depth).alias("size"))
+
+
+def repeated_runs(docs: DataFrame, least: int = LEAST, words: int | None = None) -> DataFrame:
+    """(doc_id, text_key, pos, size): starts and lines of runs that occur earlier, by document and position.
+
+    Runs have ``least`` lines or, with ``words``, fewer lines that hold so many words.
+    """
+    ids = line_ids(docs)
+    suffixes, depth, found = ranked(written(ids.drop("words") if words is None else ids.withColumn("held", F.col("words")))), 1, []
     while depth < least:
-        step = min(depth, least - depth)
+        if words is not None:
+            suffixes = written(suffixes)
+            found.append(later_copies(suffixes.where(F.col("held") >= words), depth))
+        step = min(depth, least - depth) if words is None else 1
         ahead = W.partitionBy(*DOC).orderBy("pos").rangeBetween(step, step)
-        pairs = suffixes.withColumn("k2", F.first("rank").over(ahead)).where("k2 IS NOT NULL").withColumnRenamed("rank", "k1")
-        suffixes, depth = ranked(written(pairs)), depth + step
-    suffixes = written(suffixes)
-    first = suffixes.groupBy("rank").agg(F.min(F.struct(*DOC, "pos")).alias("first"))
-    return suffixes.join(first, "rank").where(F.struct(*DOC, "pos") > F.col("first")).select(*DOC, "pos")
+        pairs = suffixes.withColumn("k2", F.first("rank").over(ahead))
+        if words is not None:
+            pairs = pairs.withColumn("held", F.col("words") + F.first("held").over(ahead))
+        suffixes, depth = ranked(written(pairs.where("k2 IS NOT NULL").withColumnRenamed("rank", "k1"))), depth + step
+    out = later_copies(written(suffixes), depth)
+    for runs in found:
+        out = out.union(runs)
+    return out
 
 
-def without_repeated_lines(docs: DataFrame, least: int = LEAST, texts: bool = False) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = LEAST, texts: bool = False, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, kept_sha256: one row per input row.
 
     ``docs`` needs ``doc_id`` and ``text``. Lines are separated by line feeds and compared as they are. A run of
     ``least`` or more lines that occurs earlier - in a document of smaller doc_id, or above in the same one - is
-    deleted; runs are judged on the input and may overlap. A null text has no lines; an empty one has one empty line.
-    A null doc_id comes first. Rows equal in doc_id and text are one document and share its result. With ``texts`` all
+    deleted, with ``words`` also a run of fewer lines that holds so many words or more (split at blanks, tabs and line
+    ends); runs are judged on the input and may overlap, and runs that touch count once. A null text has no lines; an
+    empty one has one empty line. A null doc_id comes first. Rows equal in doc_id and text are one document and share its result. With ``texts`` all
     columns of ``docs`` are returned instead, with the remaining text and, if there is such a column, its n_chars.
     """
     clash = {"_doc", "_text_key", "_starts"} & set(docs.columns)
     if clash:
         raise ValueError(f"reserved column names: {sorted(clash)}")
-    starts = (repeated_runs(docs, least).groupBy(*DOC).agg(F.sort_array(F.collect_set("pos")).alias("_starts"))
+    starts = (repeated_runs(docs, least, words).groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("pos", "size"))).alias("_starts"))
               .withColumnsRenamed({"doc_id": "_doc", "text_key": "_text_key"}))
     base = docs if texts else docs.select("doc_id", "text")
     names = base.columns  # task code must not hold a DataFrame
@@ -78,10 +97,11 @@ def without_repeated_lines(docs: DataFrame, least: int = LEAST, texts: bool = Fa
         for text, starts_ in zip(batch.column("text").to_pylist(), batch.column("_starts").to_pylist()):
             lines = text.split("\n") if text is not None else []
             gone, runs, reach = set(), 0, -1
-            for start in starts_ or ():
+            for run in starts_ or ():
+                start, end = run["pos"], run["pos"] + run["size"]
                 runs += start > reach
-                reach = start + least
-                gone.update(range(start, reach))
+                reach = max(reach, end)
+                gone.update(range(start, end))
             rest = text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
             yield rest, len(lines), len(gone), runs
 

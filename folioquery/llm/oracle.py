@@ -28,6 +28,41 @@ SELECT d.doc_id, count(m.pos) AS n_lines, count(*) FILTER (WHERE m.dead) AS n_re
 FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 """
 
+ORACLE["op4_passages"] = """
+WITH lines AS (
+  SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^ \\t\\n\\r]+')) AS n FROM (
+    SELECT doc_id, g.pos, string_split(text, chr(10))[g.pos + 1] AS line
+    FROM documents, LATERAL (SELECT unnest(range(len(string_split(text, chr(10))))) AS pos) g)),
+grams AS (
+  SELECT doc_id, pos, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c, n, n + lead(n, 1) OVER w AS n2
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (
+  SELECT doc_id, pos, 3 AS size FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth
+    FROM grams WHERE c IS NOT NULL) WHERE nth > 1
+  UNION ALL
+  SELECT doc_id, pos, 2 FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) AS nth
+    FROM grams WHERE b IS NOT NULL AND n2 >= 50) WHERE nth > 1
+  UNION ALL
+  SELECT doc_id, pos, 1 FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY a ORDER BY doc_id, pos) AS nth
+    FROM grams WHERE n >= 50) WHERE nth > 1),
+starts AS (
+  SELECT doc_id, pos, max(pos + max(size)) OVER (
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM later GROUP BY doc_id, pos),
+runs AS (SELECT doc_id, count(*) AS n_runs FROM starts WHERE reach IS NULL OR pos > reach GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (SELECT unnest([0, 1, 2]) AS k) WHERE k < size),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS dead
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos)
+SELECT d.doc_id, count(m.pos) AS n_lines, count(*) FILTER (WHERE m.dead) AS n_removed,
+       coalesce(max(r.n_runs), 0) AS n_runs,
+       sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT m.dead), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id LEFT JOIN runs r ON d.doc_id = r.doc_id GROUP BY d.doc_id
+"""
+
 ORACLE["op6_hamming"] = """
 WITH codes AS (
   SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1)::INTEGER ELSE 0::HUGEINT END

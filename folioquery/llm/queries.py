@@ -37,6 +37,11 @@ def op4_lines(spark, sf):
     return lines.without_repeated_lines(table(spark, sf, "documents"))
 
 
+def op4_passages(spark, sf):
+    """As op4_lines, and runs of one or two lines that hold 50 words or more."""
+    return lines.without_repeated_lines(table(spark, sf, "documents"), words=lines.WORDS)
+
+
 def op5_neighbours(spark, sf):
     return nndescent.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -77,4 +82,4 @@ def op10_token_counts(spark, sf):
 
 
 REGISTRY: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality, op2_toxicity, op3_bpe, op4_lines, op5_neighbours, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts)}
+    op1_quality, op2_toxicity, op3_bpe, op4_lines, op4_passages, op5_neighbours, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts)}

@@ -201,3 +201,28 @@ def test_components_of_a_long_path(spark):
     rows = components(spark.createDataFrame(path, "a long, b long")).collect()
     assert sorted(map(tuple, rows)) == [(i, 0) for i in range(41)] + [(100, 100), (101, 100)]
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_short_runs_of_many_words_against_brute_force(spark):
+    rnd = random.Random(6)
+    long, half, more = prose(rnd, 50), prose(rnd, 25), prose(rnd, 24)
+    pool = [long, half, more, prose(rnd, 70), "a", "b", ""]
+    docs = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 5)))) for i in range(30)]
+    docs += [(90, prose(rnd, 49)), (100, long), (101, half + "\n" + half), (102, half + "\n" + more + " x"), (103, half + "\n" + more + " x"),
+             (104, None), (105, docs[0][1]), (105, docs[0][1])]
+    docs += [(106, docs[30][1])]  # 49 words stay
+    gone = defaultdict(set)
+    for size in (1, 2, 3):
+        for run, where in lines_wanted(docs, size).items():
+            if size == 3 or sum(len(x.split()) for x in run) >= 50:
+                for d, k in where[1:]:
+                    gone[d].update(range(k, k + size))
+    want = Counter()
+    for d in docs:
+        parts = d[1].split("\n") if d[1] is not None else []
+        rest = "\n".join(x for i, x in enumerate(parts) if i not in gone[d])
+        runs = sum(i - 1 not in gone[d] for i in gone[d])
+        want[(d[0], len(parts), len(gone[d]), runs, hashlib.sha256(rest.encode()).hexdigest())] += 1
+    assert Counter(map(tuple, lines.without_repeated_lines(frame(spark, docs), words=50).collect())) == want
+    kept = {r.doc_id: r.text for r in lines.without_repeated_lines(frame(spark, docs), texts=True, words=50).collect()}
+    assert kept[100] == kept[101] == kept[103] == "" and kept[106] == docs[30][1]

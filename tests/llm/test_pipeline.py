@@ -37,3 +37,10 @@ def test_cut_texts_hold_no_repeats_any_more(spark):
     cut = suffixes.without_repeats(docs, texts=True)
     assert suffixes.without_repeats(cut).where("n_removed > 0").count() <= 2
     assert lines.without_repeated_lines(docs).where("n_removed > 0").count() > 0
+
+
+def test_a_copy_of_one_long_line_is_cut(spark):
+    line = " ".join(f"word{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, line), (2, line), (3, "short"), (4, "short")], "doc_id long, text string")
+    kept = dict(map(tuple, corpus_pipeline.drop_repeated_lines(spark, docs, SF).select("doc_id", "text").collect()))
+    assert kept == {1: line, 2: "", 3: "short", 4: "short"}
