@@ -22,13 +22,13 @@ from folioquery.llm.common import removed, written
 NEIGHBOURS = 32     # kept per node of the graph
 BLOCK = 512         # vectors compared with each other at the start
 ORDERS = 8          # random orders that are cut into blocks
-ROUNDS = 3          # most rounds of joins
 SETTLED = 0.01      # a round that changes a smaller share of the entries is the last
-BEAM = 224          # best nodes kept per query
+BEAM = 224          # least number of best nodes kept per query
+PIVOTS = 256        # least number of start nodes every query is compared with (broadcast)
+DOUBLING = 20       # best nodes and start nodes for each doubling of the table, if that is more
 WIDTH = 45          # nodes expanded per query and step
-STEPS = 5           # most steps of a search
+ENDLESS = 200       # rounds or steps after which an error is raised: neither should take a tenth of them
 HALF = "<f2"
-PIVOTS = 256        # start nodes every query is compared with (broadcast)
 
 
 # -- vectors -----------------------------------------------------------------------------------------------------------
@@ -225,7 +225,7 @@ def joined_round(graph: DataFrame) -> DataFrame:
 
 
 def neighbour_graph(nodes: DataFrame, count: int, centre: np.ndarray) -> DataFrame:
-    """(node, nbrs, sims, vec, extra): the graph after the last round."""
+    """(node, nbrs, sims, fresh, vec, extra): the graph after the first round that changes hardly anything."""
     def offered(lists: DataFrame) -> DataFrame:
         return lists.withColumns({"new": F.lit(True), "vec": F.lit(None).cast("binary"), "extra": F.lit(None).cast("double")})
 
@@ -234,7 +234,9 @@ def neighbour_graph(nodes: DataFrame, count: int, centre: np.ndarray) -> DataFra
 
     none = nodes.withColumns({"nbrs": F.array().cast("array<long>"), "sims": F.array().cast("array<float>")})
     graph = written(merged_lists(offered(blocks(nodes, count, centre)).union(present(none))))
-    for _ in range(ROUNDS if count > BLOCK else 0):
+    for n in range(ENDLESS + 1 if count > BLOCK else 0):
+        if n == ENDLESS:
+            raise RuntimeError(f"the neighbour graph has not settled after {n} rounds")
         after = written(merged_lists(offered(joined_round(graph)).union(present(graph))))
         removed(graph)
         graph = after
@@ -247,13 +249,13 @@ def neighbour_graph(nodes: DataFrame, count: int, centre: np.ndarray) -> DataFra
 STATE = "query_id long, qvec binary, ids array<long>, scores array<double>, expanded array<boolean>, todo array<long>"
 
 
-def state_batch(query_ids, qvecs, states: list[tuple]) -> pa.RecordBatch:
+def state_batch(query_ids, qvecs, states: list[tuple], beam: int, width: int) -> pa.RecordBatch:
     """Keep the best of each query and pick what it expands next."""
     ids, scores, expanded, todo = [], [], [], []
     for i, s, e in states:
-        order = np.lexsort((i, -s))[:BEAM]
+        order = np.lexsort((i, -s))[:beam]
         i, s, e = i[order], s[order], e[order]
-        next_up = np.flatnonzero(~e)[:WIDTH]
+        next_up = np.flatnonzero(~e)[:width]
         e[next_up] = True
         ids.append(i)
         scores.append(s)
@@ -263,10 +265,15 @@ def state_batch(query_ids, qvecs, states: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([query_ids, qvecs, *lists], ["query_id", "qvec", "ids", "scores", "expanded", "todo"])
 
 
-def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
-    """(query_id, node, score) of the best nodes found; ``queries`` has query_id, qvec and own (its node or null)."""
+def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, kind: str, count: int) -> DataFrame:
+    """(query_id, node, score) of the best nodes found; ``queries`` has query_id, qvec and own (its node or null).
+
+    Best nodes and start nodes grow with the logarithm of ``count``; the walk ends when all best ones are expanded.
+    """
+    more_nodes = math.ceil(DOUBLING * math.log2(max(count, 2)))
+    beam, width = max(BEAM, more_nodes), WIDTH
     links = written(around(graph).groupBy("centre").agg(F.collect_set("node").alias("linked")))  # at most 2 x NEIGHBOURS
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).select("node", "vec").toArrow()
+    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(max(PIVOTS, more_nodes)).select("node", "vec").toArrow()
     pivots = queries.sparkSession.sparkContext.broadcast((chosen["node"].to_numpy(), matrix(chosen["vec"], HALF).astype(np.float64)))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +287,10 @@ def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, kind:
                     i, v = (np.append(ids, own), np.append(s, q @ q)) if more else (ids, s)
                     e = np.zeros(len(i), dtype=bool)
                     states.append((i, v, e))
-                yield state_batch(batch.column("query_id"), batch.column("qvec"), states)
+                yield state_batch(batch.column("query_id"), batch.column("qvec"), states, beam, width)
 
     state = written(queries.select("query_id", "qvec", "own").mapInArrow(begin, STATE))
-    for _ in range(STEPS):
+    for n in range(ENDLESS * max(1, math.ceil(beam / width))):
         if state.where(F.size("todo") > 0).isEmpty():
             break
         met = (state.select("query_id", F.explode("todo").alias("centre")).join(links, "centre")
@@ -307,11 +314,13 @@ def greedy_search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, kind:
                         s = np.append(s, x @ np.frombuffer(q, dtype=kind).astype(np.float64))
                         e = np.append(e, np.zeros(len(x), dtype=bool))
                     states.append((i, s, e))
-                yield state_batch(batch.column("query_id"), batch.column("qvec"), states)
+                yield state_batch(batch.column("query_id"), batch.column("qvec"), states, beam, width)
 
         after = written(state.join(offered, "query_id", "left").mapInArrow(step, STATE))
         removed(state)
         state = after
+    else:
+        raise RuntimeError(f"the search has nodes left to expand after {n + 1} steps")
     return state.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("r")).select("query_id", F.col("r.ids").alias("node"), F.col("r.scores").alias("score"))
 
 
@@ -342,7 +351,7 @@ def nearest(vectors: DataFrame, asked, k: int = 20, id_column: str = "vec_id", v
     graph = neighbour_graph(nodes, count, centre / scale)
     asking = rows.where(asked).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
     queries = written(asking.join(single.select(F.col("node").alias("own"), F.col("vec").alias("qvec")), "qvec", "left"))
-    walked = greedy_search(queries, graph, nodes, kind)
+    walked = greedy_search(queries, graph, nodes, kind, count)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

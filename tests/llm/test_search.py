@@ -76,3 +76,26 @@ def test_codes_of_odd_vectors(spark):
     assert [tuple(r) for r in hamming.sign_codes(rows, "vec_id", "embedding").collect()] == [(1, 1)]
     none = hamming.sign_codes(rows, "vec_id", "embedding").where("id < 0")
     assert hamming.nearest(none, none).collect() == []
+
+
+def test_walk_and_rounds_go_on_until_nothing_changes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=24).tolist()) for i in range(1500)]
+    for name, value in {"ORDERS": 1, "BLOCK": 40, "NEIGHBOURS": 8, "SETTLED": 0.0005, "WIDTH": 20, "PIVOTS": 1}.items():
+        monkeypatch.setattr(nndescent, name, value)
+    walks, plain = [], nndescent.greedy_search
+    monkeypatch.setattr(nndescent, "greedy_search", lambda *a: walks.append((a, plain(*a))) or walks[-1][1])
+    nndescent.nearest(vectors(spark, rows), F.col("vec_id") % 150 == 0, k=10)
+    (_, graph, nodes, *_), walked = walks[0]
+    assert graph.agg(F.sum("fresh")).first()[0] < 0.0005 * 8 * 1500
+    half = {r.node: np.frombuffer(r.vec, nndescent.HALF).astype(float) for r in nodes.collect()}
+    links, best = {}, {}
+    for r in nndescent.around(graph).collect():
+        links.setdefault(r.centre, set()).add(r.node)
+    for r in walked.collect():
+        best.setdefault(r.query_id, set()).add(r.node)
+    assert sorted(best) == list(range(0, 1500, 150))
+    for q, found in best.items():
+        x = np.array(rows[q][1], dtype=np.float32).astype(float)
+        met = set().union(*(links[i] for i in found)) - found
+        assert max(half[i] @ x for i in met) <= min(half[i] @ x for i in found) + 1e-9
