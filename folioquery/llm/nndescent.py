@@ -36,7 +36,8 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[Data
     """(vec_id, vec) of the vectors that take part, and the number format of the bytes in vec.
 
     Null ids and vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do
-    vectors of another length than that of the smallest vec_id. Of rows that repeat a vec_id the smallest bytes count.
+    vectors of another length than the most frequent one (of two equally frequent, the shorter). Of rows that repeat a
+    vec_id in that length the smallest bytes count.
     """
     kind = "<f8" if "double" in vectors.schema[vector_column].dataType.simpleString() else "<f4"
 
@@ -53,10 +54,10 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[Data
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
     found = (vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"))
-             .mapInArrow(run, "vec_id long, vec binary").groupBy("vec_id").agg(F.min("vec").alias("vec")))
+             .mapInArrow(run, "vec_id long, vec binary").groupBy("vec_id", F.length("vec").alias("n")).agg(F.min("vec").alias("vec")))
     found = written(found)
-    size = found.agg(F.min(F.struct("vec_id", F.length("vec").alias("n")))["n"]).first()[0]
-    return found.where(F.length("vec") == F.lit(size or 0)), kind
+    size = found.groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    return found.where(F.col("n") == F.lit(size["n"] if size else 0)).select("vec_id", "vec"), kind
 
 
 def matrix(column, kind: str) -> np.ndarray:

@@ -99,3 +99,10 @@ def test_walk_and_rounds_go_on_until_nothing_changes(spark, monkeypatch):
         x = np.array(rows[q][1], dtype=np.float32).astype(float)
         met = set().union(*(links[i] for i in found)) - found
         assert max(half[i] @ x for i in met) <= min(half[i] @ x for i in found) + 1e-9
+
+
+def test_one_row_of_odd_length_shuts_out_no_other(spark):
+    rows = vectors(spark, [(0, [1.0]), (1, [1.0, 2.0]), (2, [3.0, 0.0]), (2, [1.0]), (3, [1.0, 1.0])])
+    found, _ = nndescent.usable(rows, "vec_id", "embedding")
+    got = {r.vec_id: np.frombuffer(r.vec, "<f4").tolist() for r in found.collect()}
+    assert got == {1: [1.0, 2.0], 2: [3.0, 0.0], 3: [1.0, 1.0]}
