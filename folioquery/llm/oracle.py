@@ -85,3 +85,41 @@ counts AS (
 SELECT source, lang, version, count(*) AS documents, sum(coalesce(tokens, 0))::BIGINT AS tokens
 FROM counts GROUP BY source, lang, version
 """
+
+
+def _centroid_rounds(rounds: int = 5, clusters: int = 40) -> str:
+    """Rounds written out one after the other: distances of all vectors to all centroids, then floors of the means."""
+    distances = """
+  SELECT rid, k, sum((l.v - c.v) * (l.v - c.v)) AS d FROM entries l JOIN c{n} c ON l.i = c.i GROUP BY rid, k"""
+    nearest = """
+a{n} AS MATERIALIZED (SELECT rid, k, d FROM ({distances})
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1)"""
+    moved = """
+c{next} AS MATERIALIZED (
+  SELECT c.k, c.i, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (
+    SELECT k, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS v
+    FROM (SELECT a.k, l.i, sum(l.v)::HUGEINT AS s, count(*) AS n FROM a{n} a JOIN entries l USING (rid) GROUP BY a.k, l.i)) m
+  ON c.k = m.k AND c.i = m.i)"""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(nearest.format(n=n, distances=distances.format(n=n)))
+        if n < rounds:
+            steps.append(moved.format(n=n, next=n + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
+entries AS MATERIALIZED (SELECT rid, g.i, e[g.i] AS v FROM kept, (SELECT unnest(range(1, 65)) AS i) g),
+c0 AS MATERIALIZED (
+  SELECT k, l.i, l.v FROM (
+    SELECT rid, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), e) - 1 AS k FROM kept
+    QUALIFY k < {clusters}) f JOIN entries l USING (rid)),{",".join(steps)},
+ends AS (SELECT k, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN ends USING (k)
+"""
+
+
+ORACLE["op13_centroids"] = _centroid_rounds()

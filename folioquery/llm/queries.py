@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioquery.llm import bpe, hamming, lines, minhash, nndescent, packing, quality, rollups, suffixes, toxicity
+from folioquery.llm import bpe, centroids, hamming, lines, minhash, nndescent, packing, quality, rollups, suffixes, toxicity
 from folioquery.llm.common import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,5 +81,9 @@ def op10_token_counts(spark, sf):
     return rollup.totals()
 
 
+def op13_centroids(spark, sf):
+    return centroids.clustered(table(spark, sf, "embeddings"))
+
+
 REGISTRY: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality, op2_toxicity, op3_bpe, op4_lines, op4_passages, op5_neighbours, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts)}
+    op1_quality, op2_toxicity, op3_bpe, op4_lines, op4_passages, op5_neighbours, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts, op13_centroids)}
