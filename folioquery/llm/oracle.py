@@ -86,6 +86,34 @@ SELECT source, lang, version, count(*) AS documents, sum(coalesce(tokens, 0))::B
 FROM counts GROUP BY source, lang, version
 """
 
+ORACLE["op12_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+spelled AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, d, array_to_string(ws[g.i:g.i + d - 1], ' ') AS phrase
+  FROM spelled, (SELECT unnest([1, 2, 3, 4]) AS d), LATERAL (SELECT unnest(range(1, len(ws) - d + 2)) AS i) g),
+f AS MATERIALIZED (SELECT lang, d, phrase, count(*) AS n FROM grams GROUP BY lang, d, phrase),
+sizes AS (SELECT lang, sum(n) AS n FROM f WHERE d = 1 GROUP BY lang),
+candidates AS (SELECT lang, d, phrase, string_split(phrase, ' ') AS ws, n AS a FROM f WHERE d > 1 AND n >= 30),
+cuts AS (
+  SELECT c.lang, c.d, c.phrase, c.a, g.k, x.n AS l, y.n AS r, ((2000000::HUGEINT * c.a) // (x.n + y.n))::BIGINT AS score
+  FROM candidates c, LATERAL (SELECT unnest(range(1, c.d)) AS k) g
+  JOIN f x ON x.lang = c.lang AND x.d = g.k AND x.phrase = array_to_string(c.ws[1:g.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.d = c.d - g.k AND y.phrase = array_to_string(c.ws[g.k + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, d, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT c.lang, array_to_string(c.ws[g.i:g.i + s - 1], ' ') AS phrase, c.a
+  FROM candidates c, (SELECT unnest([2, 3]) AS s), LATERAL (SELECT unnest(range(1, c.d - s + 2)) AS i) g WHERE s < c.d),
+longest AS (SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY lang, phrase),
+kept AS (
+  SELECT w.* FROM lowest w LEFT JOIN longest USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       sizes.n::BIGINT AS n, score
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def _centroid_rounds(rounds: int = 5, clusters: int = 40) -> str:
     """Rounds written out one after the other: distances of all vectors to all centroids, then floors of the means."""

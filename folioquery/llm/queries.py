@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioquery.llm import bpe, centroids, hamming, lines, minhash, nndescent, packing, quality, rollups, suffixes, toxicity
+from folioquery.llm import bpe, centroids, hamming, lines, minhash, nndescent, packing, phrases, quality, rollups, suffixes, toxicity, urls
 from folioquery.llm.common import shared_folder, written
 
+URL_RULES = [urls.Rule(*x) for x in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+                                     ("allow", "com/fr/"), ("block", "com/de/"))]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -81,9 +83,17 @@ def op10_token_counts(spark, sf):
     return rollup.totals()
 
 
+def op11_urls(spark, sf):
+    return urls.judged_urls(table(spark, sf, "pages"), URL_RULES)
+
+
+def op12_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 def op13_centroids(spark, sf):
     return centroids.clustered(table(spark, sf, "embeddings"))
 
 
 REGISTRY: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality, op2_toxicity, op3_bpe, op4_lines, op4_passages, op5_neighbours, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts, op13_centroids)}
+    op1_quality, op2_toxicity, op3_bpe, op4_lines, op4_passages, op5_neighbours, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts, op11_urls, op12_phrases, op13_centroids)}
