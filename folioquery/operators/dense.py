@@ -80,8 +80,8 @@ def _best_of_block(asks: np.ndarray, chunks: np.ndarray, allowed: np.ndarray | N
 
 
 def _score_packs(ask_packs: DataFrame, chunk_packs: DataFrame, salts: int, k: int,
-                 threshold: float, metric: str) -> DataFrame:
-    """Join packs on (cell, salt) and keep the k best per question.
+                 threshold: float, metric: str, repeats: bool = False) -> DataFrame:
+    """Join packs on (cell, salt) and keep the k best per question; ``repeats`` if a pair may meet in several cells.
 
     Chunk packs spread over ``salts`` slices of their cell, so a cell with a third of all vectors is still
     shared out; the small question packs are repeated per slice. A task sees two packs at a time and
@@ -119,6 +119,8 @@ def _score_packs(ask_packs: DataFrame, chunk_packs: DataFrame, salts: int, k: in
         T.StructField("question_id", ask_type), T.StructField("key", key_type),
         T.StructField("score", T.DoubleType())]))
     best_first = W.partitionBy("question_id").orderBy(F.desc("score"), "key")
+    if repeats:
+        found = found.dropDuplicates(["question_id", "key"])
     return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
 

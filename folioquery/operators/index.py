@@ -1,36 +1,47 @@
 """The chunk index: a Parquet table that is rebuilt as a whole or replaced file by file."""
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folioquery.operators.generations import Draft, generation, rows as generation_rows
+
 BUCKETS = 256
+CHUNKS = "chunks"
 
 
 def bucket(file_name: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(file_name), F.lit(buckets)).cast("int")
 
 
-def _write(rows: DataFrame, path: str, mode: str, buckets: int, overwrite: str = "static") -> None:
-    # The rebalance splits buckets that hold a huge file and joins small ones into full files.
-    placed = rows.withColumn("bucket", bucket(F.col("file_name"), buckets)).hint("rebalance", "bucket")
-    (placed.sortWithinPartitions("bucket", "category", "file_name")
-     .write.mode(mode).option("partitionOverwriteMode", overwrite).partitionBy("bucket").parquet(path))
+def _write(rows: DataFrame, draft: Draft, replaces: Iterable[int] | None, buckets: int) -> None:
+    placed = rows.withColumn("bucket", bucket(F.col("file_name"), buckets))
+    draft.write(CHUNKS, placed, ["category", "file_name"], replaces)
 
 
-def build_index(chunks: DataFrame, path: str, reset: bool = True, buckets: int = BUCKETS) -> None:
-    """Write all chunks; without ``reset`` they are appended, which can duplicate a file."""
-    _write(chunks, path, "overwrite" if reset else "append", buckets)
+def build_index(chunks: DataFrame, path: str, reset: bool = True, buckets: int = BUCKETS, draft: Draft | None = None) -> None:
+    """Write all chunks; without ``reset`` they are appended, which can duplicate a file.
+
+    With a ``draft`` the rows become part of that commit, else they are published at once."""
+    own = draft or Draft(chunks.sparkSession, path)
+    _write(chunks, own, None if reset else (), buckets)
+    if draft is None:
+        own.publish()
 
 
 def read_index(spark: SparkSession, path: str, category: str | None = None,
                file_name: str | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Index rows. A category is filtered in the scan, a file also prunes to its bucket."""
-    rows = spark.read.parquet(path)
+    """Index rows of the newest generation; what is committed later does not change them. A category is filtered in the
+    scan, a file also prunes to its bucket."""
+    seen, only = generation(spark, path), None
+    if file_name:
+        only = [spark.range(1).select(bucket(F.lit(file_name), buckets)).first()[0]]
+    rows = generation_rows(spark, path, seen, CHUNKS, only)
     if category:
         rows = rows.where(F.col("category") == category)
     if file_name:
-        rows = rows.where(F.col("file_name") == file_name) \
-            .where(F.col("bucket") == bucket(F.lit(file_name), buckets))
-    return rows.where("text IS NOT NULL").drop("bucket")
+        rows = rows.where(F.col("file_name") == file_name)
+    return rows.drop("bucket")
 
 
 def replaced(index: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -40,21 +51,27 @@ def replaced(index: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame
 
 
 def replace_files(spark: SparkSession, path: str, chunks: DataFrame, files: DataFrame,
-                  buckets: int = BUCKETS) -> None:
-    """Replace the chunks of whole files, including files that have none any more.
+                  buckets: int = BUCKETS, draft: Draft | None = None) -> list[int]:
+    """Replace the chunks of whole files, including files that have none any more; returns the buckets touched.
 
-    Only the buckets of these files are read and overwritten. A file without chunks leaves one row with a
-    NULL text behind, so that its bucket is written even when nothing else is left in it; readers skip it.
+    Only the buckets of these files are read and written. Readers see the former rows until all are written and the new
+    ones from then on. Of two writers that change one bucket at a time the second one fails (``Overtaken``). With a
+    ``draft`` the change becomes part of that commit, else it is published at once.
     """
     # Every file with new chunks counts as replaced: a bucket must never be written without being read.
     filled = chunks.select("file_name").distinct()
     files = files.select("file_name").unionByName(filled).distinct()
-    # At most ``buckets`` integers reach the driver; as literals they prune the scan to the folders of these buckets.
+    # At most ``buckets`` integers reach the driver; they choose the folders that are read.
     touched = [row.bucket for row in files.select(bucket(F.col("file_name"), buckets).alias("bucket")).distinct().collect()]
-    near = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
-    emptied = files.join(filled, "file_name", "left_anti")
-    rows = replaced(near, chunks, files).unionByName(emptied, allowMissingColumns=True)
-    _write(rows, path, "overwrite", buckets, "dynamic")
+    own = draft or Draft(spark, path)
+    rows = chunks
+    if CHUNKS in own.base.schemas:
+        near = own.rows(CHUNKS, touched).where(F.col("bucket").isin(touched)).drop("bucket")
+        rows = replaced(near, chunks, files)
+    _write(rows, own, touched, buckets)
+    if draft is None:
+        own.publish()
+    return touched
 
 
 def index_categories(index: DataFrame) -> DataFrame:

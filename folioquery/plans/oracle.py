@@ -2,7 +2,8 @@
 
 from folioquery import constants as K
 from folioquery.operators.answers import DEFAULT_FALLBACK, DEFAULT_SYSTEM_PROMPT
-from folioquery.plans.queries import CONFIGURED, DENSE_THRESHOLD, OVERRIDE, RELEVANCE_THRESHOLD
+from folioquery.operators.hashing import PROBES, projections
+from folioquery.plans.queries import CONFIGURED, DENSE_THRESHOLD, OVERRIDE, RELEVANCE_THRESHOLD, VECTOR_LENGTH
 
 _BLANKS = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 STEP = K.CHUNK_SIZE - K.CHUNK_OVERLAP
@@ -106,6 +107,73 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score
 SELECT question_id, rank, score, vec_id FROM ranked WHERE rank <= {K.TOP_K}"""
 
 
+def _recursive_chunks() -> str:
+    """Segments are split at one separator after the other; a recursive query then follows, in each run of small pieces,
+    the pointer from the first piece of a chunk to that of the next."""
+    size, overlap, key = K.CHUNK_SIZE, K.CHUNK_OVERLAP, "file_name, doc_seq, category"
+    steps = ["seg0 AS (SELECT *, 0::BIGINT AS a, length(text)::BIGINT AS z FROM corpus WHERE text <> '')"]
+    for level, mark in enumerate(K.SEPARATORS):
+        sign = " || ".join(f"chr({ord(c)})" for c in mark)
+        steps.append(f"""
+parts{level} AS (SELECT *, generate_subscripts(parts, 1) AS i, len(parts) AS n, unnest(parts) AS part FROM (
+  SELECT *, string_split(substring(text, a + 1, z - a), {sign}) AS parts FROM seg{level})),
+ends{level} AS (
+  SELECT * EXCLUDE (parts, part), (a + sum(length(part)) OVER (PARTITION BY {key}, a ORDER BY i) + (i - 1) * {len(mark)})::BIGINT AS hi
+  FROM parts{level}),
+pieces{level} AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY {key}, a ORDER BY i), a) AS lo FROM ends{level}),
+seg{level + 1} AS (SELECT {key}, text, lo AS a, hi AS z FROM pieces{level} WHERE n = 1 OR hi - lo >= {size}),
+runs{level} AS (
+  SELECT {key}, text, list_concat([min(lo)], list(hi ORDER BY hi)) AS b FROM (
+    SELECT *, count_if(hi - lo >= {size}) OVER (PARTITION BY {key}, a ORDER BY i) AS run FROM pieces{level} WHERE n > 1 AND lo < hi)
+  WHERE hi - lo < {size} GROUP BY {key}, text, a, run)""")
+    last = len(K.SEPARATORS)
+    runs = " UNION ALL ".join(f"SELECT {key}, text, b::BIGINT[] AS b FROM runs{level}" for level in range(last))
+    return f"""WITH RECURSIVE {CORPUS}, {",".join(steps)},
+runs AS MATERIALIZED ({runs} UNION ALL SELECT {key}, text, range(a, z + 1) AS b FROM seg{last}),
+chain AS (
+  SELECT *, 1::BIGINT AS f, len(list_filter(b, lambda x: x <= b[1] + {size})) AS e FROM runs
+  UNION ALL
+  SELECT * EXCLUDE (g), g AS f, len(list_filter(b, lambda x: x <= b[g] + {size})) AS e FROM (
+    SELECT {key}, text, b, len(list_filter(b, lambda x: x < greatest(b[e] - {overlap}, b[e + 1] - {size}))) + 1 AS g
+    FROM chain WHERE e < len(b))),
+pieces AS (SELECT {key}, b[f] AS a, {_strip("substring(text, b[f] + 1, b[e] - b[f])")} AS text FROM chain)
+SELECT printf('%s#%010d#%06d', file_name, doc_seq, row_number() OVER (PARTITION BY file_name, doc_seq ORDER BY a) - 1) AS chunk_key,
+       category, text FROM pieces WHERE text <> ''"""
+
+
+def _reissued(query: str = CORPUS) -> str:
+    """The corpus after files with a toxic Spanish text came in again, holding only their labelled texts."""
+    changed = f"""{CORPUS.replace("corpus AS", "before AS", 1)},
+files AS (SELECT DISTINCT source AS file_name FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND lang = 'es'),
+corpus AS (
+  SELECT * FROM before WHERE file_name NOT IN (SELECT file_name FROM files)
+  UNION ALL SELECT * REPLACE ('v2 ' || text AS text) FROM before
+  WHERE file_name IN (SELECT file_name FROM files) AND doc_seq IN (SELECT doc_id FROM labels))"""
+    return query.replace(CORPUS, changed, 1)
+
+
+def _hashed() -> str:
+    """The same projections as literals; a question looks into its cheapest buckets."""
+    planes = projections(VECTOR_LENGTH)
+    tables, bits, _ = planes.shape
+    values = ", ".join(f"({t}, {j}, [{', '.join(map(repr, planes[t, j].tolist()))}]::DOUBLE[])" for t in range(tables) for j in range(bits))
+    cost = " + ".join(f"costs[{j + 1}] * ((change >> {j}) & 1)" for j in range(bits))
+    return f"""WITH {_VECTORS}, planes(t, j, p) AS (VALUES {values}),
+codes AS MATERIALIZED (
+  SELECT vec_id, t, sum(CASE WHEN s > 0 THEN 1 << j ELSE 0 END)::INTEGER AS code, list(s * s ORDER BY j) AS costs
+  FROM (SELECT vec_id, t, j, list_dot_product(v, p) AS s FROM vectors, planes WHERE norm > 0) GROUP BY vec_id, t),
+probes AS (
+  SELECT vec_id, t, xor(code, change) AS code FROM (
+    SELECT vec_id, t, code, change, row_number() OVER (PARTITION BY vec_id, t ORDER BY {cost}, change) AS nth
+    FROM codes, (SELECT unnest(range({1 << bits}))::INTEGER AS change)) WHERE nth <= {PROBES}),
+pairs AS (SELECT DISTINCT q.vec_id AS question_id, c.vec_id FROM probes q JOIN codes c USING (t, code)),
+scored AS (SELECT question_id, p.vec_id, round(list_dot_product(q.v, c.v) / (q.norm * c.norm), {K.SCORE_DIGITS}) AS score
+           FROM pairs p JOIN vectors q ON q.vec_id = question_id JOIN vectors c ON c.vec_id = p.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored
+           WHERE score >= {DENSE_THRESHOLD}::DOUBLE)
+SELECT question_id, rank, score, vec_id FROM ranked WHERE rank <= {K.TOP_K}"""
+
+
 _PART_UNITS = """parts AS (
   SELECT 'part.csv' AS file_name, p_partkey + 2 AS row_no,
     concat_ws('. ', 'p_name: ' || p_name, 'p_brand: ' || p_brand, 'p_type: ' || p_type, 'p_size: ' || p_size,
@@ -212,17 +280,7 @@ FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1""",
     "dense_topk_filtered": _dense("q.label = c.label"),
     "dense_threshold": _dense(threshold=RELEVANCE_THRESHOLD, score="1 - (2 - 2 * ({})) / sqrt(2.0::DOUBLE)"),
     "cell_topk": _dense(threshold=DENSE_THRESHOLD),
-    "ann_topk": f"""WITH {_VECTORS},
-means AS (SELECT label, i, avg(v[i]) AS m FROM vectors, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY label, i),
-centres AS (SELECT label AS cell, list(m ORDER BY i) AS c FROM means GROUP BY label),
-fits AS (SELECT vec_id, cell, list_dot_product(v, c) / sqrt(list_dot_product(c, c)) AS fit FROM vectors, centres),
-near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY fit DESC, cell) AS nth FROM fits),
-scored AS (SELECT q.vec_id AS question_id, c.vec_id, round(list_dot_product(q.v, c.v) / (q.norm * c.norm), {K.SCORE_DIGITS}) AS score
-           FROM near home JOIN near ask ON ask.cell = home.cell AND ask.nth <= 3
-           JOIN vectors c ON c.vec_id = home.vec_id JOIN vectors q ON q.vec_id = ask.vec_id WHERE home.nth = 1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM scored
-           WHERE score >= {DENSE_THRESHOLD}::DOUBLE)
-SELECT question_id, rank, score, vec_id FROM ranked WHERE rank <= {K.TOP_K}""",
+    "ann_topk": _hashed(),
     "cited_context": f"WITH {HITS}, {CONTEXT} SELECT question_id, context FROM context",
     "source_records": f"""WITH {HITS} SELECT question_id, rank, file_name, category,
   coalesce(nullif(page, 0)::VARCHAR, nullif(slide, 0)::VARCHAR, nullif(section, ''), nullif(row_no, 0)::VARCHAR, '') AS location,
@@ -265,6 +323,13 @@ FROM totals LEFT JOIN listed USING (quote_id) LEFT JOIN maintenance USING (quote
 SELECT source AS file_name, doc_id AS doc_seq, text FROM documents WHERE source NOT IN (SELECT source FROM files)
 UNION ALL SELECT source, doc_id, 'v2 ' || text FROM documents
 WHERE source IN (SELECT source FROM files) AND doc_id IN (SELECT doc_id FROM labels)""",
+    "recursive_chunks": _recursive_chunks(),
+    "written_index": f"WITH {_reissued()} SELECT file_name, doc_seq, category, text FROM corpus",
+    "written_file": f"WITH {CORPUS} SELECT file_name, doc_seq, text FROM corpus WHERE file_name = 'src7' AND category = 'Interno'",
+    "block_topk": f"WITH {HITS} SELECT question_id, rank, score, chunk_key FROM hits",
+    "refreshed_topk": f"WITH {_reissued(HITS)} SELECT question_id, rank, score, chunk_key FROM hits",
+    "refreshed_terms": f"""WITH {_reissued(HITS)}
+SELECT term, df FROM dfs UNION ALL SELECT '', count(*) FROM chunks""",
     "index_categories": f"WITH {CORPUS} SELECT DISTINCT category FROM corpus WHERE category <> ''",
     "index_file": "SELECT source AS file_name, doc_id AS doc_seq, text FROM documents WHERE source = 'src3'",
     "coverage_report": f"""WITH {_LOG}
@@ -279,6 +344,25 @@ FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1""",
     "windowed_coverage": f"""WITH {_LOG}
 SELECT date_trunc('hour', ts) AS window_start, count_if(uso_rag) AS covered, count_if(NOT uso_rag) AS uncovered
 FROM log GROUP BY 1""",
+    "windowed_audit": """WITH asked AS (SELECT DISTINCT user_id, event_type = 'view' AS uso_rag, ts FROM events WHERE event_type IN ('view', 'error')),
+voted AS (
+  SELECT a.user_id, a.uso_rag, a.ts, count_if(v.event_type = 'purchase') AS positive, count_if(v.event_type = 'click') AS negative
+  FROM asked a LEFT JOIN events v ON v.user_id = a.user_id AND v.event_type IN ('purchase', 'click')
+    AND v.ts BETWEEN a.ts AND a.ts + INTERVAL 12 HOURS GROUP BY ALL)
+SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, count_if(uso_rag) AS covered,
+  count_if(NOT uso_rag) AS uncovered, count_if(negative > 0) AS disliked, sum(positive)::BIGINT AS positive, sum(negative)::BIGINT AS negative
+FROM voted GROUP BY 1""",
+    "merged_durations": f"""WITH {_LOG}
+SELECT date_trunc('week', ts)::DATE AS week, count(*) AS questions, quantile_disc(duracion_s, 0.5) AS median_s,
+  quantile_disc(duracion_s, 0.95) AS p95_s FROM log GROUP BY 1""",
+    "reconciled_files": """WITH parts AS (
+  SELECT doc_id, lang, source || '/' || lang AS file_name, ('0x' || substring(sha256(coalesce(text, '')), 1, 8))::BIGINT AS part FROM documents),
+listing AS (SELECT file_name, count(*) || '-' || sum(part) AS digest FROM parts
+            WHERE lang <> 'es' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1),
+known AS (SELECT file_name, count(*) || '-' || sum(part) AS digest FROM parts WHERE lang <> 'de' GROUP BY 1)
+SELECT coalesce(l.file_name, k.file_name) AS file_name, CASE WHEN k.file_name IS NULL THEN 'new' WHEN l.file_name IS NULL THEN 'gone'
+  WHEN l.digest = k.digest THEN 'same' ELSE 'changed' END AS state
+FROM listing l FULL JOIN known k ON l.file_name = k.file_name""",
     "json_lines": """SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","k":' || (props->>'$.k')
   || ',"fuentes":["' || event_type || '"]}' AS line FROM events""",
     "elapsed": """SELECT l_orderkey, l_linenumber, epoch(l_shipdate) - epoch(o_orderdate) AS duration_s

@@ -2,13 +2,13 @@
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioquery import constants as K
 from folioquery.functions import prices, text as tx, vectors as vec
-from folioquery.operators import answers as ans, chunking, dense, history, index as idx, lexical, quotes, telemetry
-from folioquery.session import spread
+from folioquery.operators import answers as ans, chunking, dense, hashing, history, index as idx, lexical, postings, quotes, reconcile, telemetry
+from folioquery.operators.generations import Draft
+from folioquery.session import scratch_folder, spread
 from folioquery.sources import sections
 from folioquery.sources.categories import category_map, with_category
 from folioquery.sources.files import as_documents
@@ -23,6 +23,7 @@ CONFIGURED = {"src0": "Comercial", "src1": "Comercial", "src2": "Legal", "src3":
 OVERRIDE = {"src2": "Operacional", "src3": "", "src7": "Interno"}
 DENSE_THRESHOLD = 0.3
 RELEVANCE_THRESHOLD = 0.1
+VECTOR_LENGTH = 64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -183,19 +184,10 @@ def cell_topk(spark, sf):
                            DENSE_THRESHOLD, "vec_id")
 
 
-def label_centres(spark, sf) -> np.ndarray:
-    """Unit mean vector of each label, by label: as many rows as there are labels reach the driver."""
-    means = (table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
-             .groupBy("label", "at").agg(F.avg("x").alias("x")).groupBy("label")
-             .agg(F.sort_array(F.collect_list(F.struct("at", "x")))["x"].alias("centre")).orderBy("label").collect())
-    centres = np.array([row.centre for row in means])
-    return centres / np.linalg.norm(centres, axis=1, keepdims=True)
-
-
 def ann_topk(spark, sf):
-    """Only the cells of the three nearest centres are searched; the centres follow from the labels."""
-    return dense.cell_topk(_vector_questions(spark, sf, False), _vectors(spark, sf), label_centres(spark, sf),
-                           DENSE_THRESHOLD, "vec_id", probes=3)
+    """Only vectors that share a bucket of random projections with the question."""
+    return hashing.hashed_topk(_vector_questions(spark, sf, False), _vectors(spark, sf), hashing.projections(VECTOR_LENGTH),
+                               DENSE_THRESHOLD, "vec_id")
 
 
 def lexical_topk(spark, sf):
@@ -317,16 +309,69 @@ def nested_quotes(spark, sf):
                        F.array_join("unmatched", "; ").alias("unmatched"))
 
 
-def index_replace(spark, sf):
-    """Files with a toxic Spanish text come in again, holding only their labelled texts."""
-    rows = corpus(spark, sf).select("file_name", "doc_seq", "text")
-    labels = table(spark, sf, "labels")
+def _reissued(spark, sf):
+    """(fresh units, files): files with a toxic Spanish text come in again, holding only their labelled texts."""
+    rows, labels = corpus(spark, sf), table(spark, sf, "labels")
     toxic = labels.where("toxic = 1").join(table(spark, sf, "documents").where("lang = 'es'"), "doc_id")
     files = toxic.select(F.col("source").alias("file_name")).distinct()
     fresh = (rows.join(files, "file_name", "left_semi")
              .join(labels.select(F.col("doc_id").alias("doc_seq")), "doc_seq", "left_semi")
              .withColumn("text", F.concat(F.lit("v2 "), "text")))
-    return idx.replaced(rows, fresh, files).select("file_name", "doc_seq", "text")
+    return fresh, files
+
+
+def index_replace(spark, sf):
+    """Files with a toxic Spanish text come in again, holding only their labelled texts."""
+    columns = ["file_name", "doc_seq", "text"]
+    fresh, files = _reissued(spark, sf)
+    return idx.replaced(corpus(spark, sf).select(*columns), fresh.select(*columns), files).select(*columns)
+
+
+def written_index(spark, sf):
+    """The same replacement as commits of a written index, read back from its newest generation."""
+    path = scratch_folder(spark)
+    idx.build_index(corpus(spark, sf), path)
+    fresh, files = _reissued(spark, sf)
+    idx.replace_files(spark, path, fresh, files)
+    return idx.read_index(spark, path).select("file_name", "doc_seq", "category", "text")
+
+
+def written_file(spark, sf):
+    """One file of one category from a written index: its bucket alone is read."""
+    path = scratch_folder(spark)
+    idx.build_index(corpus(spark, sf), path)
+    return idx.read_index(spark, path, category="Interno", file_name="src7").select("file_name", "doc_seq", "text")
+
+
+def _search_index(spark, sf, reissue):
+    """A written search index, brought up to date after files came in again."""
+    path = scratch_folder(spark)
+    draft = Draft(spark, path)
+    idx.build_index(lexical.term_counts(chunking.fixed_chunks(corpus(spark, sf))), path, draft=draft)
+    postings.add_to_search(draft)
+    draft.publish()
+    if reissue:
+        fresh, files = _reissued(spark, sf)
+        draft = Draft(spark, path)
+        idx.replace_files(spark, path, lexical.term_counts(chunking.fixed_chunks(fresh)), files, draft=draft)
+        postings.add_to_search(draft)
+        draft.publish()
+    return postings.read_search(spark, path)
+
+
+def block_topk(spark, sf):
+    """The flagship search over impact-ordered posting blocks."""
+    return postings.search(questions(spark, sf), _search_index(spark, sf, False))
+
+
+def refreshed_topk(spark, sf):
+    """Search in an index that followed the replaced files bucket by bucket."""
+    return postings.search(questions(spark, sf), _search_index(spark, sf, True))
+
+
+def refreshed_terms(spark, sf):
+    """Document frequencies from the signed deltas of two commits."""
+    return _search_index(spark, sf, True).terms.select(F.coalesce("term", F.lit("")).alias("term"), "df")
 
 
 def index_categories(spark, sf):
@@ -370,6 +415,51 @@ def windowed_coverage(spark, sf):
     return coverage.windowed_coverage(_query_log(spark, sf)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _vote_log(spark, sf):
+    """Purchases and clicks as votes on what the same user was shown before."""
+    return table(spark, sf, "events").where("event_type IN ('purchase', 'click')").select(
+        F.col("user_id").cast("string").alias("pregunta"), F.lit("shown").alias("respuesta"),
+        history.feedback_label(F.col("event_type") == "purchase").alias("feedback"), F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+def _answer_log(spark, sf):
+    """Views as answers with support, errors as answers without."""
+    return table(spark, sf, "events").where("event_type IN ('view', 'error')").select(
+        F.col("user_id").cast("string").alias("pregunta"), F.lit("shown").alias("respuesta"),
+        (F.col("event_type") == "view").alias("uso_rag"), F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+def windowed_audit(spark, sf):
+    """Answers and the votes of the next twelve hours in one table."""
+    found = coverage.windowed_audit(_answer_log(spark, sf), _vote_log(spark, sf), "6 hours", "12 hours")
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def merged_durations(spark, sf):
+    """Durations by month and kind of event from daily sketches, which are stored and read back."""
+    log = _query_log(spark, sf)
+    path = scratch_folder(spark)
+    for covered in (True, False):  # the log comes in two parts
+        telemetry.append_sketches(log.where(F.col("uso_rag") == covered), path)
+    return telemetry.merged_durations(spark.read.parquet(path), F.trunc("day", "week").alias("week"))
+
+
+def reconciled_files(spark, sf):
+    """Files of a source and language: the folder has lost its Spanish files and toxic texts, the index lacks German ones.
+
+    A file's digest is a sum over its texts, so that no file has to meet in one task."""
+    docs = table(spark, sf, "documents")
+    part = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 8), 16, 10).cast("long")
+    toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
+
+    def files(rows):
+        named = rows.select(F.concat("source", F.lit("/"), "lang").alias("file_name"), part.alias("part"))
+        return named.groupBy("file_name").agg(F.concat(F.count("*"), F.lit("-"), F.sum("part")).alias("digest"))
+
+    listing = files(docs.where("lang <> 'es'").join(toxic, "doc_id", "left_anti"))
+    return reconcile.reconciled(listing, files(docs.where("lang <> 'de'")))
+
+
 def json_lines(spark, sf):
     parsed = F.from_json("props", "k int")
     row = F.struct("event_id", "event_type", parsed["k"].alias("k"), F.array("event_type").alias("fuentes"))
@@ -389,5 +479,5 @@ REGISTRY: dict[str, Query] = {f.__name__: f for f in (
     role_prefixes, normalise_vectors, pair_scores, dense_topk, dense_topk_filtered, dense_threshold, cell_topk,
     ann_topk, cited_context, source_records, cited_files, answer_or_fallback, history_window, prompt_table,
     feedback_pairs, accent_fold, price_parse, quote_lines, quote_totals, quote_unmatched, nested_quotes,
-    index_replace, index_categories, index_file, coverage_report, uncovered_questions, source_usage,
-    feedback_report, windowed_coverage, json_lines, elapsed)}
+    index_replace, written_index, written_file, block_topk, refreshed_topk, refreshed_terms, index_categories, index_file, coverage_report, uncovered_questions, source_usage,
+    feedback_report, windowed_coverage, windowed_audit, merged_durations, reconciled_files, json_lines, elapsed)}

@@ -1,5 +1,7 @@
 """Session settings the jobs expect, and durable cut points for long lineages."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,18 +22,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, so that later stages survive lost executors.
+def _shared(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Only a local session without it, as in tests, gets one next
+    to its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a local session without it, as in tests, gets
-    a folder next to its warehouse.
-    """
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, for tables that a job writes and reads again."""
+    return f"{_shared(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder, so that later stages survive lost executors."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint()
 
 
