@@ -212,14 +212,80 @@ class BytePairEncoder:
         return b"".join(parts).decode("utf-8", errors="replace")
 
 
+class LatinWords:
+    """Words of Latin text, all at once: letters, single digits, and runs of other signs, cut as the pattern of the
+    vocabulary cuts them, with the English endings behind an apostrophe as words of their own."""
+
+    SIZE = 0x250             # code points below this are looked up in tables
+    ENDINGS = {1: "stmd", 2: ("re", "ve", "ll")}
+
+    def __init__(self):
+        import regex
+        signs = [chr(c) for c in range(self.SIZE)]
+        self.kind = np.full(self.SIZE, 3, dtype=np.uint8)    # 0 white space, 1 letter, 2 digit, 3 other
+        for kind, pattern in ((0, r"\s"), (1, r"\p{L}"), (2, r"\p{N}")):
+            self.kind[[c for c, x in enumerate(signs) if regex.match(pattern, x)]] = kind
+        random = np.random.default_rng(5)
+        self.values = random.integers(1, 2**63, (2, self.SIZE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.bases = [int(x) * 8 + 3 for x in random.integers(1, 2**60, 2)]
+        self.powers = [np.ones(1, dtype=np.uint64)] * 2
+
+    def reach(self, n: int) -> None:
+        if len(self.powers[0]) < n:
+            for k, base in enumerate(self.bases):
+                steps = np.full(1 << (n - 1).bit_length(), np.uint64(base))
+                steps[0] = 1
+                self.powers[k] = np.cumprod(steps)
+
+    def cut(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each word."""
+        kind = self.kind[codes]
+        fresh = np.ones(len(codes), dtype=bool)
+        fresh[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        mark = np.flatnonzero(codes[:-1] == 39)
+        mark = mark[(mark == 0) | (kind[np.maximum(mark - 1, 0)] != 3)]  # an apostrophe that starts its run
+        if len(mark):
+            padded = np.append(codes, [0, 0])
+            first, second = padded[mark + 1], padded[mark + 2]
+            long = np.zeros(len(mark), dtype=bool)
+            for a, b in self.ENDINGS[2]:
+                long |= (first == ord(a)) & (second == ord(b))
+            short = np.isin(first, [ord(x) for x in self.ENDINGS[1]])
+            for size, at in ((1, mark[short]), (2, mark[long & ~short])):
+                fresh[at + 1] = False
+                after = at + 1 + size
+                fresh[after[after < len(codes)]] = True
+        start = np.flatnonzero(fresh)
+        end = np.append(start[1:], len(codes))
+        word = kind[start] != 0
+        return start[word], end[word]
+
+    def distinct(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first occurrence of each distinct word, which of them each word is). Words are told apart by a hash of 64
+        bits, and a second one says whether all that share the first are equal; if not, both decide."""
+        length = end - start
+        first = np.cumsum(length) - length
+        at = np.arange(int(length.sum())) - np.repeat(first - start, length)
+        place = at - np.repeat(start, length)
+        self.reach(int(length.max()))
+        one, two = (np.add.reduceat(value[codes[at]] * power[place], first) + length.astype(np.uint64)
+                    for value, power in zip(self.values, self.powers))
+        _, index, which = np.unique(one, return_index=True, return_inverse=True)
+        if (two[index][which] != two).any():
+            _, index, which = np.unique(np.column_stack([one, two]), axis=0, return_index=True, return_inverse=True)
+        return index, which.ravel()
+
+
 class WordEndEncoder(BytePairEncoder):
     """The same merges for vocabularies that mark the end of a word, lower-case the text and drop white space.
 
-    A text falls into pieces at white space; each distinct piece is encoded once. Pieces beyond the Latin letters, and
-    texts with rare white space or the names of special tokens, go through the library itself.
+    The words of Latin texts are cut and told apart in one go for a group of texts; each distinct word is merged once.
+    Other texts fall into pieces at white space and each distinct piece is encoded once; pieces beyond the Latin letters,
+    and texts with rare white space or the names of special tokens, go through the library itself.
     """
 
     RARE_SPACE = re.compile(r"[^\S \n\t\r]")
+    BEYOND = re.compile("[^\x00-\u024f]")
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
@@ -230,6 +296,8 @@ class WordEndEncoder(BytePairEncoder):
             spec = json.load(file)["model"]
         self.last_id = np.array([spec["vocab"][x + spec["end_of_word_suffix"]] for x in byte_letters()], dtype=np.int32)
         self.latin_words = regex.compile(self.PATTERN).findall
+        self.latin = LatinWords()
+        self.known_words: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -254,14 +322,53 @@ class WordEndEncoder(BytePairEncoder):
         for piece, words in split.items():
             self.pieces[piece] = b"".join(map(ids.__getitem__, words))
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; words are remembered up to a number of them, the table then starts anew."""
+        known = self.known_words
+        unknown = [w for w in words if w not in known]
+        if len(known) + len(unknown) > REMEMBERED:
+            known.clear()
+            unknown = words
+        if unknown:
+            spelled = list(map(str.encode, unknown))
+            ids = self.encode_words(spelled)
+            known.update(zip(unknown, map(ids.__getitem__, spelled)))
+        return list(map(known.__getitem__, words))
+
+    def encode_latin(self, texts: list[str]) -> list[bytes]:
+        """Texts of Latin letters, lower-cased and normalised."""
+        joined = "\n".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        start, end = self.latin.cut(codes)
+        if not len(start):
+            return [b""] * len(texts)
+        index, which = self.latin.distinct(codes, start, end)
+        ids = self.word_ids([joined[a:b] for a, b in zip(start[index].tolist(), end[index].tolist())])
+        size = np.array([len(x) // 4 for x in ids])
+        flat, first = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size
+        length = size[which]
+        before = np.concatenate([[0], np.cumsum(length)])
+        out = flat[np.arange(before[-1]) + np.repeat(first[which] - before[:-1], length)]
+        text_start = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        bound = before[np.searchsorted(start, text_start)].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bound, bound[1:])]
+
     def encode_group(self, texts: list[str]) -> list[bytes]:
         found: list[bytes] = [b""] * len(texts)
         regular: list[tuple[int, list[str]]] = []
+        latin: list[tuple[int, str]] = []
         for k, text in enumerate(texts):
             if self.RARE_SPACE.search(text) or self.special_split.search(text):
                 found[k] = self.whole(text)
+                continue
+            plain = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+            if plain.isascii() or not self.BEYOND.search(plain):
+                latin.append((k, plain))
             else:
                 regular.append((k, text.split()))
+        if latin:
+            for (k, _), ids in zip(latin, self.encode_latin([plain for _, plain in latin])):
+                found[k] = ids
         unknown: set[str] = set()
         for _, pieces in regular:
             unknown.update(pieces)

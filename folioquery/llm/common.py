@@ -55,11 +55,14 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
 def worker_state(key: tuple, build: Callable):
     """An object built once per Python worker and used by all of its tasks, such as a vocabulary.
 
-    Task code is shipped by value, so a global of this module would live for one task only.
+    Task code is shipped by value, so a global of this module would live for one task only. The first word of a key names
+    its operator. A worker holds the objects of one operator at a time: when the next one of a pipeline asks for its own,
+    those of the last one are let go.
     """
     holder = sys.modules.setdefault("_folioquery_worker_state", types.ModuleType("_folioquery_worker_state"))
-    if not hasattr(holder, "kept"):
-        holder.kept = {}
+    owner = key[0].split(" ")[0]
+    if getattr(holder, "owner", None) != owner:
+        holder.owner, holder.kept = owner, {}
     if key not in holder.kept:
         holder.kept[key] = build()
     return holder.kept[key]

@@ -9,28 +9,53 @@ that all windows of the block have in common, and by all bytes they cover - and,
 window. All three sorts work alike: sampled splitters cut the order into ranges (the place of a suffix is the last part
 of the key, so equal suffixes also spread over ranges), each range is sorted token by token, and neighbours are compared,
 also those across two ranges.
+
+Repeats can also be measured in words: a text is then the sequence of the hashes of its words, and all of the above holds
+with words in place of bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folioquery.llm.common import mix, text_key, worker_state, written
+from folioquery.llm.common import WordHashes, mix, removed, text_key, worker_state, written
 
 LEAST = 400
-GRAM = 64
+LEAST_WORDS = 50
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK = 32
 SEGMENT_BITS = 20    # texts are handled in segments of 2^20 windows
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 NO_ID = -2**63       # stands for a null doc_id
 
 
+class Unit(NamedTuple):
+    """What texts are measured in: the symbols of a text, and how many of them an anchor is hashed from."""
+    name: str
+    gram: int
+    symbols: Callable[[str | None], np.ndarray]
+
+
+def text_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return worker_state(("suffix words",), WordHashes).of(WORD.findall(text_bytes(text)))
+
+
+BYTES = Unit("byte", 64, lambda text: np.frombuffer(text_bytes(text), dtype=np.uint8))
+WORDS = Unit("word", 8, word_hashes)
+
+
 # -- fingerprints ------------------------------------------------------------------------------------------------------
 class Powers:
     """Powers of a base and of its inverse modulo 2^64, grown on demand."""
@@ -75,21 +100,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1:width - 1 + n])
 
 
-def stretches(data: np.ndarray, least: int) -> np.ndarray:
+def stretches(data: np.ndarray, least: int, gram: int = BYTES.gram) -> np.ndarray:
     """Rows (anchor, first window, last window, gram token, stretch token), as 64-bit integers."""
+    gram = min(gram, least)
     windows, step = len(data) - least + 1, (1 << SEGMENT_BITS) - least  # a segment numbers its grams in SEGMENT_BITS bits
-    out = [_segment(data, start, min(step, windows - start), least) for start in range(0, windows, step)]
+    out = [_segment(data, start, min(step, windows - start), least, gram) for start in range(0, windows, step)]
     return np.concatenate(out) if out else np.zeros((0, 5), dtype=np.int64)
 
 
-def _segment(data: np.ndarray, start: int, windows: int, least: int) -> np.ndarray:
+def _segment(data: np.ndarray, start: int, windows: int, least: int, gram: int) -> np.ndarray:
     first, second = powers()
     part = data[start:start + windows + least - 1]
     prints = Fingerprints(part, first)
-    at = np.arange(len(part) - GRAM + 1)
-    grams = prints.of(at, at + GRAM)
+    at = np.arange(len(part) - gram + 1)
+    grams = prints.of(at, at + gram)
     low = np.uint64((1 << SEGMENT_BITS) - 1)
-    lowest = sliding_min((grams & ~low) | at.astype(np.uint64), least - GRAM + 1)
+    lowest = sliding_min((grams & ~low) | at.astype(np.uint64), least - gram + 1)
     anchor = (lowest & low).astype(np.int64)
     begin = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     end = np.append(begin[1:], windows) - 1
@@ -163,14 +189,14 @@ FOUND_SQL = "doc long, text_key long, kind int, anchor long, lo long, hi long"
 SPAN, OPEN = 0, 1
 
 
-def anchor_rows(docs: DataFrame, least: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, least: int, unit: Unit) -> DataFrame:
     schema = [*PLACE, *((x, pa.int64()) for x in ("anchor", "lo", "hi", "gram", "stretch"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, owner = [], []
             for k, text in enumerate(batch.column("text")):
-                rows = stretches(np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8), least)
+                rows = stretches(unit.symbols(text.as_py()), least, unit.gram)
                 parts.append(rows)
                 owner.append(np.full(len(rows), k))
             if parts:
@@ -201,10 +227,10 @@ def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(grouped, ["doc", "text_key"])
 
 
-def open_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def open_rows(batch: pa.RecordBatch, unit: Unit) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     texts, lists = batch.column("text"), batch.column("rows")
     for k in range(batch.num_rows):
-        data = np.frombuffer((texts[k].as_py() or "").encode("utf-8", "replace"), dtype=np.uint8)
+        data = unit.symbols(texts[k].as_py())
         values = lists[k].values
         yield k, data, np.column_stack([values.field(x).to_numpy() for x in ("anchor", "lo", "hi")])
 
@@ -220,12 +246,12 @@ def token_batch(batch: pa.RecordBatch, owner: list, firsts: list, seconds: list,
                               cat(anchors), cat(ats)])
 
 
-def block_tokens(opened: DataFrame, least: int) -> DataFrame:
+def block_tokens(opened: DataFrame, least: int, unit: Unit) -> DataFrame:
     """Two suffixes for each block of windows of an open stretch; ``at`` = 2 x block + (1: bytes of all windows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, firsts, seconds, anchors, ats = [], [], [], [], []
-            for k, data, rows in open_rows(batch):
+            for k, data, rows in open_rows(batch, unit):
                 prints = [Fingerprints(data, p) for p in powers()]
                 anchor = rows[:, 0]
                 low, high = (anchor - rows[:, 2]) // BLOCK, (anchor - rows[:, 1]) // BLOCK
@@ -266,12 +292,12 @@ def repeated_blocks(tokens: DataFrame) -> DataFrame:
         F.max("state").alias("state"), F.max("stands").alias("stands"), F.max("token").alias("token"))
 
 
-def window_tokens(opened: DataFrame, least: int) -> DataFrame:
+def window_tokens(opened: DataFrame, least: int, unit: Unit) -> DataFrame:
     """One suffix for each window of an open block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, firsts, seconds, anchors, ats = [], [], [], [], []
-            for k, data, rows in open_rows(batch):
+            for k, data, rows in open_rows(batch, unit):
                 each = rows[:, 2] - rows[:, 1] + 1
                 row = np.repeat(np.arange(len(rows)), each)
                 at = np.unique(np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + rows[row, 1])
@@ -285,8 +311,9 @@ def window_tokens(opened: DataFrame, least: int) -> DataFrame:
     return opened.mapInArrow(run, TOKENS_SQL)
 
 
-def repeated_windows(tokens: DataFrame, least: int) -> DataFrame:
-    """Spans of windows that occur elsewhere. The two ends of each range are compared with those of the others."""
+def repeated_windows(tokens: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of windows that occur elsewhere, and the written table they are read from. The two ends of each range are
+    compared with those of the others."""
     schema = [*PLACE, ("at", pa.int64()), ("edge", pa.bool_()), ("first", pa.int64()), ("second", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,17 +330,23 @@ def repeated_windows(tokens: DataFrame, least: int) -> DataFrame:
     across = edges.groupBy("first", "second").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
     copies = found.where("not edge").select("doc", "text_key", "at").union(
         edges.join(across, ["first", "second"]).select("doc", "text_key", "at"))
-    return copies.select("doc", "text_key", F.col("at").alias("lo"), (F.col("at") + least).alias("hi"))
+    return copies.select("doc", "text_key", F.col("at").alias("lo"), (F.col("at") + least).alias("hi")), found
 
 
 # -- operator ----------------------------------------------------------------------------------------------------------
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, text_key, lo, hi): byte spans whose windows of ``least`` bytes start elsewhere too; spans may overlap."""
+def repeated_spans(docs: DataFrame, least: int = LEAST, unit: Unit = BYTES) -> DataFrame:
+    """(doc, text_key, lo, hi): spans, in symbols, whose windows of ``least`` symbols start elsewhere too; spans may overlap.
+
+    What is written on the way is deleted when the spans are written."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text_key().alias("text_key"), "text")
     long_enough = keyed.where(F.octet_length("text") >= least)
-    found = written(sort_anchors(written(anchor_rows(long_enough, least)), least))
+    anchors = written(anchor_rows(long_enough, least, unit))
+    found = written(sort_anchors(anchors, least))
     opened = found.where(F.col("kind") == OPEN).select("doc", "text_key", "anchor", "lo", "hi")
-    blocks = written(repeated_blocks(written(block_tokens(with_text(long_enough, opened), least))))
+    block_rows = written(block_tokens(with_text(long_enough, opened), least, unit))
+    blocks = written(repeated_blocks(block_rows))
+    for table in (anchors, block_rows):
+        removed(table)
     joined = opened.join(blocks, ["doc", "text_key", "anchor"])
     cut = joined.select("doc", "text_key", "anchor", "state", "stands", "token",
                         F.greatest("lo", F.col("anchor") - F.col("block") * BLOCK - (BLOCK - 1)).alias("lo"),
@@ -321,10 +354,14 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # Open blocks are compared window by window with each other and with one of each kind of settled block like them.
     like_open = cut.where("state = 1").select("token").distinct()
     pending = cut.where("state = 1").unionByName(cut.where("state = 2 AND stands").join(like_open, "token", "left_semi"))
-    windows = repeated_windows(written(window_tokens(with_text(long_enough, pending), least)), least)
-    return (found.where(F.col("kind") == SPAN).select("doc", "text_key", "lo", "hi")
-            .union(cut.where("state = 2").select("doc", "text_key", "lo", (F.col("hi") + least).alias("hi")))
-            .union(windows))
+    window_rows = written(window_tokens(with_text(long_enough, pending), least, unit))
+    windows, ends = repeated_windows(window_rows, least)
+    spans = written(found.where(F.col("kind") == SPAN).select("doc", "text_key", "lo", "hi")
+                    .union(cut.where("state = 2").select("doc", "text_key", "lo", (F.col("hi") + least).alias("hi")))
+                    .union(windows))
+    for table in (found, blocks, window_rows, ends):
+        removed(table)
+    return spans
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -336,20 +373,28 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]])
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST, texts: bool = False) -> DataFrame:
+def byte_spans(data: bytes, spans: np.ndarray) -> np.ndarray:
+    """Spans of words as spans of bytes: up to the next word, or the end of the text."""
+    starts = np.array([m.start() for m in WORD.finditer(data)] + [len(data)])
+    return starts[spans]
+
+
+def without_repeats(docs: DataFrame, least: int = LEAST, texts: bool = False, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per input row.
 
     ``docs`` needs ``doc_id`` and ``text``. Every byte covered by a string of ``least`` bytes that also starts
-    elsewhere is removed, first copies too. Null and short texts are kept. Rows equal in doc_id and text are one
-    document: they are no copies of each other and get the same result. With ``texts`` all columns of ``docs`` are
-    returned instead, with the remaining text (bytes of a character that was cut are left out) and, if there is such
-    a column, its n_chars.
+    elsewhere is removed, first copies too. With ``words`` repeats are measured in words instead (runs of other signs than
+    white space, which may differ between two copies): every word covered by a string of that many words that also starts
+    elsewhere goes, with the white space behind it; a text without white space is one word. Null and short texts are kept.
+    Rows equal in doc_id and text are one document: they are no copies of each other and get the same result. With
+    ``texts`` all columns of ``docs`` are returned instead, with the remaining text (bytes of a character that was cut are
+    left out) and, if there is such a column, its n_chars.
     """
     clash = {"_doc", "_text_key", "_spans"} & set(docs.columns)
     if clash:
         raise ValueError(f"reserved column names: {sorted(clash)}")
-    spans = (repeated_spans(docs, least).groupBy("doc", "text_key")
-             .agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    found = repeated_spans(docs, least) if words is None else repeated_spans(docs, words, WORDS)
+    spans = (found.groupBy("doc", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
              .select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"), "_spans"))
     base = docs if texts else docs.select("doc_id", "text")
     names = base.columns  # task code must not hold a DataFrame
@@ -358,11 +403,12 @@ def without_repeats(docs: DataFrame, least: int = LEAST, texts: bool = False) ->
 
     def kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
         for text, found in zip(batch.column("text"), batch.column("_spans")):
-            data = (text.as_py() or "").encode("utf-8", "replace")
+            data = text_bytes(text.as_py())
             if not found.is_valid:
                 yield data, len(data), 0, 0
                 continue
-            runs = merged(np.column_stack([found.values.field(x).to_numpy() for x in ("lo", "hi")])).tolist()
+            runs = merged(np.column_stack([found.values.field(x).to_numpy() for x in ("lo", "hi")]))
+            runs = (runs if words is None else byte_spans(data, runs)).tolist()
             ends = [0, *(hi for _, hi in runs)]
             rest = b"".join(data[a:b] for a, b in zip(ends, [*(lo for lo, _ in runs), len(data)]))
             yield rest, len(data), len(data) - len(rest), len(runs)

@@ -83,6 +83,38 @@ def test_suffix_segments_and_texts(spark, monkeypatch):
     assert suffixes.without_repeats(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("words", [3, 50])
+def test_suffixes_in_words_against_brute_force(spark, words):
+    rnd = random.Random(words)
+    space = lambda: rnd.choice([" ", " ", "  ", "\n", "\t "])
+    spell = lambda ws: "".join(w + space() for w in ws)
+    shared = [prose(rnd, 60).split() for _ in range(3)]
+    docs = [spell(prose(rnd, rnd.randint(1, 90)).split()) for _ in range(15)]
+    docs += [" " + spell(prose(rnd, 9).split() + rnd.choice(shared)[rnd.randint(0, 12):] + prose(rnd, 4).split()) for _ in range(20)]
+    docs += ["a " * 120, "a\n" * 49, "a b " * 60, "", " \t", None, "x" * 900, "x" * 900, docs[0], "é " + docs[1]]
+    docs = list(enumerate(docs)) + [(None, docs[3]), (None, docs[3]), (4, docs[4]), (4, docs[5])]
+    data, seen, want = {}, Counter(), Counter()
+    for d in set(docs):
+        b = (d[1] or "").encode()
+        data[d] = [(m.start(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        seen.update(tuple(w for _, w in data[d][k:k + words]) for k in range(len(data[d]) - words + 1))
+    for d in docs:
+        b, mask = (d[1] or "").encode(), np.zeros(len(data[d]), dtype=bool)
+        for k in range(len(mask) - words + 1):
+            if seen[tuple(w for _, w in data[d][k:k + words])] > 1:
+                mask[k:k + words] = True
+        starts = [at for at, _ in data[d]] + [len(b)]
+        gone = np.zeros(len(b), dtype=bool)
+        for k in np.flatnonzero(mask):
+            gone[starts[k]:starts[k + 1]] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        runs = int((mask & ~np.append(False, mask[:-1])).sum()) if len(mask) else 0
+        want[(d[0], len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())] += 1
+    got = suffixes.without_repeats(frame(spark, docs), words=words)
+    assert Counter(map(tuple, got.collect())) == want
+    assert sum(n for (*_, gone, _, _), n in want.items() if gone) > 10
+
+
 def lines_wanted(docs, least):
     distinct = sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is not None, d[0] or 0, 0))
     places = defaultdict(list)
