@@ -24,6 +24,7 @@ OVERRIDE = {"src2": "Operacional", "src3": "", "src7": "Interno"}
 DENSE_THRESHOLD = 0.3
 RELEVANCE_THRESHOLD = 0.1
 VECTOR_LENGTH = 64
+SEARCH_BUCKETS = 16  # few files come in again, and each costs its bucket
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -347,13 +348,13 @@ def _search_index(spark, sf, reissue):
     """A written search index, brought up to date after files came in again."""
     path = scratch_folder(spark)
     draft = Draft(spark, path)
-    idx.build_index(lexical.term_counts(chunking.fixed_chunks(corpus(spark, sf))), path, draft=draft)
+    idx.build_index(lexical.term_counts(chunking.fixed_chunks(corpus(spark, sf))), path, buckets=SEARCH_BUCKETS, draft=draft)
     postings.add_to_search(draft)
     draft.publish()
     if reissue:
         fresh, files = _reissued(spark, sf)
         draft = Draft(spark, path)
-        idx.replace_files(spark, path, lexical.term_counts(chunking.fixed_chunks(fresh)), files, draft=draft)
+        idx.replace_files(spark, path, lexical.term_counts(chunking.fixed_chunks(fresh)), files, SEARCH_BUCKETS, draft)
         postings.add_to_search(draft)
         draft.publish()
     return postings.read_search(spark, path)
