@@ -19,7 +19,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs are cut out of the texts: three lines, or fewer that hold 50 words."""
+    """Later copies of repeated runs are cut out of the texts: three lines, or fewer that hold 50 words.
+
+    A document all of whose lines go stays as a row with an empty text: near dedup links it with nothing, and packing
+    gives it its end id alone."""
     return lines.without_repeated_lines(docs, texts=True, words=lines.WORDS)
 
 
@@ -28,9 +31,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return minhash.without_near_duplicates(docs, width=5, percent=80)
 
 
-def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 400-byte string that also starts elsewhere are cut out of the texts."""
-    return suffixes.without_repeats(docs, texts=True)
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words covered by a string of 50 words that also starts elsewhere are cut out of the texts, in all its places.
+
+    The stage measures passages in words, as they often have fewer than the 400 bytes that op7_suffixes asks for."""
+    return suffixes.without_repeats(docs, texts=True, words=suffixes.LEAST_WORDS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near dedup", drop_near_duplicates),
-          ("suffix dedup", drop_repeated_bytes), ("packing", pack_windows)]
+          ("suffix dedup", drop_repeated_passages), ("packing", pack_windows)]
 ORACLE_SQL = None  # scoring, signatures and tokenising have no SQL form; the tests hold the stages against brute force
 
 
