@@ -42,6 +42,14 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside those of ``df``, whatever it calls its columns."""
+    taken, prefix = {name.lower() for name in df.columns}, "_"
+    while any(prefix + name in taken for name in names):
+        prefix += "_"
+    return [prefix + name for name in names]
+
+
 def text_key() -> Column:
     """Tells rows of one doc_id apart; rows equal in doc_id and text count as one document."""
     return F.xxhash64(F.coalesce("text", F.lit("")))

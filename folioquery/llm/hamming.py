@@ -25,13 +25,15 @@ BLOCK = 2048
 def sign_codes(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, code): bit i is set where component i is positive; null components count as not positive.
 
-    Null and empty vectors and null ids take no part; components beyond 64 are not used.
+    Null and empty vectors and null ids take no part. A vector of more than 64 components is an error.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.zeros(batch.num_rows, dtype=np.uint64)
             for k, vector in enumerate(batch.column("v")):
-                values = np.array([x is not None and x > 0 for x in vector.values.to_pylist()[:BITS]], dtype=np.uint64)
+                if len(vector.values) > BITS:
+                    raise ValueError(f"vectors of at most {BITS} components fit a code")
+                values = np.array([x is not None and x > 0 for x in vector.values.to_pylist()], dtype=np.uint64)
                 codes[k] = (values << np.arange(len(values), dtype=np.uint64)).sum(dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes.view(np.int64))], ["id", "code"])
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from folioquery.llm.common import text_key, written
+from folioquery.llm.common import spare_names, text_key, written
 
 LEAST = 3            # lines of the shortest repeated run
 WORDS = 50           # words that make a run of fewer lines long enough where runs are measured by content
@@ -82,19 +82,17 @@ def without_repeated_lines(docs: DataFrame, least: int = LEAST, texts: bool = Fa
     empty one has one empty line. A null doc_id comes first. Rows equal in doc_id and text are one document and share its result. With ``texts`` all
     columns of ``docs`` are returned instead, with the remaining text and, if there is such a column, its n_chars.
     """
-    clash = {"_doc", "_text_key", "_starts"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    starts = (repeated_runs(docs, least, words).groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("pos", "size"))).alias("_starts"))
-              .withColumnsRenamed({"doc_id": "_doc", "text_key": "_text_key"}))
+    doc, its_key, key, runs_found = spare_names(docs, "doc", "text_key", "key", "starts")
+    starts = (repeated_runs(docs, least, words).groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("pos", "size"))).alias(runs_found))
+              .withColumnsRenamed({"doc_id": doc, "text_key": its_key}))
     base = docs if texts else docs.select("doc_id", "text")
     names = base.columns  # task code must not hold a DataFrame
-    joined = (base.withColumn("_key", text_key())
-              .join(starts, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text_key")), "left")
-              .select(*base.columns, "_starts"))
+    joined = (base.withColumn(key, text_key())
+              .join(starts, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(its_key)), "left")
+              .select(*base.columns, runs_found))
 
     def cleaned(batch: pa.RecordBatch) -> Iterator[tuple[str | None, int, int, int]]:
-        for text, starts_ in zip(batch.column("text").to_pylist(), batch.column("_starts").to_pylist()):
+        for text, starts_ in zip(batch.column("text").to_pylist(), batch.column(runs_found).to_pylist()):
             lines = text.split("\n") if text is not None else []
             gone, runs, reach = set(), 0, -1
             for run in starts_ or ():

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from folioquery.llm.common import WordHashes, mix, text_key, worker_state, written
+from folioquery.llm.common import WordHashes, mix, spare_names, text_key, worker_state, written
 from folioquery.llm.components import components
 
 BANDS, BAND_ROWS = 32, 4     # a pair at similarity 0.85 shares no band with a chance of 4e-11, at 0.8 of 5e-8
@@ -187,13 +187,11 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
 
     Rows without doc_id come last in a group; of rows equal in doc_id and text one stays, also if the text is empty.
     """
-    clash = {"_doc", "_text_key"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    stays = grouped(docs, width, percent).where("stays").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key")).distinct()
-    keyed = docs.withColumn("_key", text_key())
-    return (keyed.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text_key")), "left_semi")
-            .dropDuplicates(["doc_id", "_key"]).select(*docs.columns))
+    doc, its_key, key = spare_names(docs, "doc", "text_key", "key")
+    stays = grouped(docs, width, percent).where("stays").select(F.col("doc_id").alias(doc), F.col("text_key").alias(its_key)).distinct()
+    keyed = docs.withColumn(key, text_key())
+    return (keyed.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(its_key)), "left_semi")
+            .dropDuplicates(["doc_id", key]).select(*docs.columns))
 
 
 def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:

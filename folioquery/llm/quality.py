@@ -34,7 +34,7 @@ class ShapeHashes(WordHashes):
     def __missing__(self, word: bytes) -> int:
         case = b"A" if word.isupper() and len(word) > 1 else b"a"
         shape = RUNS.sub(lambda m: b"0" if m[0].isdigit() else case, word.lower())
-        value = WordHashes(0)[b"\0" + shape[:16]]
+        value = WordHashes(0)[b"\0" + shape]
         if len(self) < self.most:
             self[word] = value
         return value

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folioquery.llm.common import WordHashes, mix, removed, text_key, worker_state, written
+from folioquery.llm.common import WordHashes, mix, removed, spare_names, text_key, worker_state, written
 
 LEAST = 400
 LEAST_WORDS = 50
@@ -390,19 +390,17 @@ def without_repeats(docs: DataFrame, least: int = LEAST, texts: bool = False, wo
     ``texts`` all columns of ``docs`` are returned instead, with the remaining text (bytes of a character that was cut are
     left out) and, if there is such a column, its n_chars.
     """
-    clash = {"_doc", "_text_key", "_spans"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
+    doc, key, spans_found = spare_names(docs, "doc", "text_key", "spans")
     found = repeated_spans(docs, least) if words is None else repeated_spans(docs, words, WORDS)
-    spans = (found.groupBy("doc", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-             .select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"), "_spans"))
+    spans = (found.groupBy("doc", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias(spans_found))
+             .select(F.col("doc").alias(doc), F.col("text_key").alias(key), spans_found))
     base = docs if texts else docs.select("doc_id", "text")
     names = base.columns  # task code must not hold a DataFrame
-    keyed = base.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text_key": text_key()})
-    joined = keyed.join(spans, ["_doc", "_text_key"], "left").select(*base.columns, "_spans")
+    keyed = base.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: text_key()})
+    joined = keyed.join(spans, [doc, key], "left").select(*base.columns, spans_found)
 
     def kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
-        for text, found in zip(batch.column("text"), batch.column("_spans")):
+        for text, found in zip(batch.column("text"), batch.column(spans_found)):
             data = text_bytes(text.as_py())
             if not found.is_valid:
                 yield data, len(data), 0, 0

@@ -26,6 +26,8 @@ STEMS_EACH = 20
 LEAST_SEEN = 5         # sample documents a feature must occur in
 THRESHOLD = 0.7
 EDGES = ".,;:!?\"'()[]{}|*&%$#<>-_/\\"
+BREAKS = str.maketrans({sign: " " for sign in EDGES})
+STEM = 8               # letters of the longest stem; longer words have stems in each stretch of as many letters
 LEXICON = {
     "en": ("idiot idiots moron morons stupid dumb trash scum loser losers pathetic worthless disgusting clown filth "
            "vermin imbecile freak creep liar coward bastard").split(),
@@ -38,17 +40,14 @@ VOTERS = FIXED_VOTERS + STEM_VOTERS
 
 
 def word_features(token: str) -> list[int]:
-    """Dimensions of a token: the bare word and its stems of 4 to 8 letters."""
+    """Dimensions of a word: itself, and the stems of 4 to 8 letters of each stretch of 8."""
     import xxhash
-    word = token.strip(EDGES)
-    if not word or len(word) > 64:
-        return []
-    parts = ["=" + word, *(word[:n] for n in range(4, min(len(word), 8) + 1))]
+    parts = ["=" + token, *(token[at:at + n] for at in range(0, len(token), STEM) for n in range(4, min(len(token) - at, STEM) + 1))]
     return [xxhash.xxh3_64_intdigest(p.encode()) & (DIMENSIONS - 1) for p in parts]
 
 
 def distinct_tokens(text: str | None) -> set[str]:
-    return set((text or "").lower().split())
+    return set((text or "").lower().translate(BREAKS).split())
 
 
 class TokenTable(dict):
@@ -85,7 +84,7 @@ def token_votes(stems: list[np.ndarray]):
     stem = {int(d): 1 << (FIXED_VOTERS + k) for k, group in enumerate(stems) for d in group}
 
     def of(token: str) -> int:
-        votes = lexicon.get(token.strip(EDGES), 0)
+        votes = lexicon.get(token, 0)
         for d in word_features(token):
             votes |= stem.get(d, 0)
         return votes
