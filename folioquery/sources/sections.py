@@ -69,7 +69,7 @@ def keyed_entity_documents(spark: SparkSession, paths, glob: str | None = None,
         F.get_json_object("value", f"$.{array}"), "array<map<string,string>>")).alias("doc_seq", "e"))
 
     def line(entry):
-        label = F.concat(F.upper(F.substring(entry["key"], 1, 1)), F.replace(F.substring(entry["key"], 2, 10_000), F.lit("_"), F.lit(" ")))
+        label = F.concat(F.upper(F.substring(entry["key"], 1, 1)), F.replace(F.substring(entry["key"], F.lit(2), F.length(entry["key"])), F.lit("_"), F.lit(" ")))
         listed = F.from_json(entry["value"], "array<string>")
         value = F.when(entry["value"].startswith("["), F.array_join(listed, "; ")).otherwise(entry["value"])
         return F.concat(label, F.lit(": "), F.coalesce(value, F.lit("")), F.lit("."))
