@@ -95,5 +95,18 @@ def op13_centroids(spark, sf):
     return centroids.clustered(table(spark, sf, "embeddings"))
 
 
+def op10_tokenizer_counts(spark, sf):
+    """Token counts of two real vocabularies: all documents enter, and those labelled as junk are withdrawn."""
+    docs = table(spark, sf, "documents")
+    counts = written(rollups.tokenized(docs, {"byte-bpe-50k": (bpe.BytePairEncoder, tokenizer("byte_bpe_50k.json")),
+                                              "word-bpe-49k": (bpe.WordEndEncoder, tokenizer("word_bpe_49k.json"))}))
+    junk = table(spark, sf, "labels").where("quality = 0").select("doc_id").distinct()
+    rollup = rollups.TokenRollup(spark, shared_folder(spark))
+    rollup.commit("0001", rollups.inserts(counts))
+    rollup.commit("0002", rollups.deletes(counts.join(junk, "doc_id", "left_semi")))
+    rollup.commit("0002", rollups.deletes(counts))  # a batch sent twice changes nothing
+    return rollup.totals()
+
+
 REGISTRY: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality, op2_toxicity, op3_bpe, op4_lines, op4_passages, op5_neighbours, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts, op11_urls, op12_phrases, op13_centroids)}
+    op1_quality, op2_toxicity, op3_bpe, op4_lines, op4_passages, op5_neighbours, op6_hamming, op7_suffixes, op8_minhash, op9_packing, op10_token_counts, op10_tokenizer_counts, op11_urls, op12_phrases, op13_centroids)}

@@ -9,9 +9,15 @@ commit under the same id changes nothing, also after a crash half-way.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folioquery.llm.bpe import BytePairEncoder, WordEndEncoder
+from folioquery.llm.common import worker_state
+
 KEYS = ["source", "lang", "version"]
 
 
@@ -22,6 +28,23 @@ def counted(docs: DataFrame, versions: dict[str, Column]) -> DataFrame:
     return docs.select("doc_id", "source", "lang", each.alias("_n")).select("doc_id", "source", "lang", "_n.version", "_n.tokens")
 
 
+def tokenized(docs: DataFrame, encoders: dict[str, tuple[type[BytePairEncoder], str]]) -> DataFrame:
+    """(doc_id, source, lang, version, tokens): tokens of each whole text under each tokenizer version, given as its
+    encoder and vocabulary file. A null or empty text has none. One pass over the texts, no shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            for version, (kind, path) in encoders.items():
+                encoder = worker_state(("rollup", kind.__name__, path), lambda: kind(path))  # noqa: B023
+                tokens = np.fromiter((len(ids) // 4 for ids in encoder.encode(texts)), dtype=np.int64, count=len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").cast(pa.int64()), batch.column("source"), batch.column("lang"),
+                     pa.array([version] * len(texts), pa.string()), pa.array(tokens)], ["doc_id", *KEYS, "tokens"])
+
+    return docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(
+        run, "doc_id long, source string, lang string, version string, tokens long")
+
+
 def inserts(counts: DataFrame) -> DataFrame:
     return counts.select(*KEYS, F.lit(1).cast("long").alias("documents"), F.col("tokens").cast("long").alias("tokens"))
 
@@ -77,7 +100,9 @@ class TokenRollup:
         return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
 
     def totals(self) -> DataFrame:
-        """source, lang, version, documents, tokens over all committed batches; groups that have come to nothing go."""
+        """source, lang, version, documents, tokens over all committed batches; groups that have come to nothing go.
+
+        Batches may be committed in any order: a delete whose insert is still to come shows as a negative count."""
         schema = "source string, lang string, version string, documents long, tokens long"
         if not (names := self.batches()):
             return self.spark.createDataFrame([], schema)

@@ -6,9 +6,9 @@ at equal offsets. The windows of one anchor form a stretch. Suffixes at anchors
 first 64 bytes and the bytes of the stretch, each as a fingerprint. A suffix equal to a neighbour in both tokens is a
 copy as a whole; one that shares only the first is looked at more closely, first in blocks of 32 windows - by the bytes
 that all windows of the block have in common, and by all bytes they cover - and, where a block stays open, window by
-window. All three sorts work alike: sampled splitters cut the order into ranges (the place of a suffix is the last part
-of the key, so equal suffixes also spread over ranges), each range is sorted token by token, and neighbours are compared,
-also those across two ranges.
+window. All three sorts work alike: sampled splitters cut the order into buckets (the place of a suffix is the last part
+of the key, so equal suffixes also spread over buckets), each bucket is sorted by multikey quicksort, and neighbours are
+compared, also those across two buckets.
 
 Repeats can also be measured in words: a text is then the sequence of the hashes of its words, and all of the above holds
 with words in place of bytes.
@@ -126,20 +126,50 @@ def _segment(data: np.ndarray, start: int, windows: int, least: int, gram: int)
                             grams[anchor].view(np.int64), stretch.view(np.int64)])
 
 
-# -- sorted neighbours -------------------------------------------------------------------------------------------------
-def sorted_ranges(rows: DataFrame, *key: str) -> DataFrame:
-    """Ranges of the order of ``key`` by sampled splitters, each sorted; ``rows`` should be a written table."""
-    return rows.repartitionByRange(*key).sortWithinPartitions(*key)
-
-
-def neighbours(batches: Iterator[pa.RecordBatch], tokens: tuple[str, ...]) -> Iterator[tuple[dict, list, list, np.ndarray]]:
-    """Blocks of a sorted range: columns; for each token, equality with the row before and after (all tokens up to it
+# -- sorted buckets --------------------------------------------------------------------------------------------------
+SMALL = 2048         # rows that multikey quicksort leaves to a plain sort
+
+
+def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by several keys: three-way quicksort that looks at one key at a time and goes on to the next key only
+    within rows equal in the ones before."""
+    order = np.arange(len(columns[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        start, end, depth = todo.pop()
+        rows = order[start:end]
+        if len(rows) <= SMALL or depth == len(columns):
+            if depth < len(columns):
+                order[start:end] = rows[np.lexsort([c[rows] for c in reversed(columns[depth:])])]
+            continue
+        key = columns[depth][rows]
+        pivot = np.sort(key[[0, len(key) // 2, -1]])[1]
+        less, equal = key < pivot, key == pivot
+        order[start:end] = np.concatenate([rows[less], rows[equal], rows[~less & ~equal]])
+        low, high = start + int(less.sum()), start + int(less.sum() + equal.sum())
+        todo += [(start, low, depth), (low, high, depth + 1), (high, end, depth)]
+    return order
+
+
+def sorted_bucket(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], block: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The rows of one bucket in order. A bucket is a range between two splitters, of bounded size as places are part of
+    the key."""
+    held = [batch for batch in batches if batch.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        order = multikey_order([table.column(x).to_numpy() for x in key])
+        for at in range(0, len(order), block):
+            yield from table.take(pa.array(order[at:at + block])).combine_chunks().to_batches()
+
+
+def neighbours(batches: Iterator[pa.RecordBatch], tokens: tuple[str, ...], place: tuple[str, ...]) -> Iterator[tuple[dict, list, list, np.ndarray]]:
+    """A bucket sorted by tokens and place, in blocks: columns; for each token, equality with the row before and after (all tokens up to it
     equal); and whether the row is the first or last of its range, where one of the two is unknown and given as False.
 
     Rows that repeat a place altogether stand for one. One row is held back, to be compared with the next block.
     """
     held, before, names = None, None, None
-    for batch in chain(batches, [None]):
+    for batch in chain(sorted_bucket(batches, (*tokens, *place)), [None]):
         if batch is not None:
             if not batch.num_rows:
                 continue
@@ -209,7 +239,7 @@ def anchor_rows(docs: DataFrame, least: int, unit: Unit) -> DataFrame:
 def sort_anchors(rows: DataFrame, least: int) -> DataFrame:
     """Stretches that occur elsewhere as spans, and those to be looked at more closely (with one of each kind of copy)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, before, after, edge in neighbours(batches, ("gram", "stretch")):
+        for c, before, after, edge in neighbours(batches, ("gram", "stretch"), ("doc", "text_key", "lo")):
             copy = before[1] | after[1]
             near = (before[0] & ~before[1]) | (after[0] & ~after[1]) | edge
             place = [c["doc"], c["text_key"]]
@@ -217,7 +247,7 @@ def sort_anchors(rows: DataFrame, least: int) -> DataFrame:
                 yield int_batch(FOUND, [*(x[rows] for x in place), np.full(int(rows.sum()), kind),
                                         c["anchor"][rows], c["lo"][rows], c["hi"][rows] + extra])
 
-    return sorted_ranges(rows, "gram", "stretch", "doc", "text_key", "lo").mapInArrow(run, FOUND_SQL)
+    return rows.repartitionByRange("gram", "stretch", "doc", "text_key", "lo").mapInArrow(run, FOUND_SQL)
 
 
 # -- open stretches ----------------------------------------------------------------------------------------------------
@@ -248,18 +278,20 @@ def token_batch(batch: pa.RecordBatch, owner: list, firsts: list, seconds: list,
 
 def block_tokens(opened: DataFrame, least: int, unit: Unit) -> DataFrame:
     """Two suffixes for each block of windows of an open stretch; ``at`` = 2 x block + (1: bytes of all windows)."""
+    size = min(BLOCK, least)  # all windows of a block overlap
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, firsts, seconds, anchors, ats = [], [], [], [], []
             for k, data, rows in open_rows(batch, unit):
                 prints = [Fingerprints(data, p) for p in powers()]
                 anchor = rows[:, 0]
-                low, high = (anchor - rows[:, 2]) // BLOCK, (anchor - rows[:, 1]) // BLOCK
+                low, high = (anchor - rows[:, 2]) // size, (anchor - rows[:, 1]) // size
                 each = high - low + 1
                 row = np.repeat(np.arange(len(rows)), each)
                 block = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + low[row]
                 p = anchor[row]
-                near, far = p - block * BLOCK, p - block * BLOCK - (BLOCK - 1)  # last and first window of the block
+                near, far = p - block * size, p - block * size - (size - 1)  # last and first window of the block
                 whole = (far >= 0) & (near + least <= len(data))
                 for start, end, use, kind in ((near, far + least, np.ones(len(row), dtype=bool), 0), (far, near + least, whole, 1)):
                     s, e = start[use], end[use]
@@ -280,13 +312,13 @@ def repeated_blocks(tokens: DataFrame) -> DataFrame:
     schema = [*PLACE, ("anchor", pa.int64()), ("block", pa.int64()), ("state", pa.int32()), ("stands", pa.bool_()), ("token", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, before, after, edge in neighbours(batches, ("first", "second")):
+        for c, before, after, edge in neighbours(batches, ("first", "second"), ("doc", "text_key", "anchor", "at")):
             copy, whole = before[1] | after[1], c["at"] % 2 == 1
             rows = copy | (edge & ~whole)
             yield int_batch(schema, [c["doc"][rows], c["text_key"][rows], c["anchor"][rows], c["at"][rows] // 2,
                                      np.where(whole, 2, 1)[rows], (whole & ~before[1])[rows], np.where(whole, NO_ID, c["first"])[rows]])
 
-    found = sorted_ranges(tokens, "first", "second", "doc", "text_key", "anchor", "at").mapInArrow(
+    found = tokens.repartitionByRange("first", "second", "doc", "text_key", "anchor", "at").mapInArrow(
         run, "doc long, text_key long, anchor long, block long, state int, stands boolean, token long")
     return found.groupBy("doc", "text_key", "anchor", "block").agg(
         F.max("state").alias("state"), F.max("stands").alias("stands"), F.max("token").alias("token"))
@@ -317,13 +349,13 @@ def repeated_windows(tokens: DataFrame, least: int) -> tuple[DataFrame, DataFram
     schema = [*PLACE, ("at", pa.int64()), ("edge", pa.bool_()), ("first", pa.int64()), ("second", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, before, after, edge in neighbours(batches, ("first", "second")):
+        for c, before, after, edge in neighbours(batches, ("first", "second"), ("doc", "text_key", "at")):
             copy = before[1] | after[1]
             for rows, is_edge in ((copy, False), (edge, True)):
                 yield int_batch(schema, [c["doc"][rows], c["text_key"][rows], c["at"][rows], np.full(int(rows.sum()), is_edge),
                                          c["first"][rows], c["second"][rows]])
 
-    found = written(sorted_ranges(tokens, "first", "second", "doc", "text_key", "at").mapInArrow(
+    found = written(tokens.repartitionByRange("first", "second", "doc", "text_key", "at").mapInArrow(
         run, "doc long, text_key long, at long, edge boolean, first long, second long"))
     place = F.struct("doc", "text_key", "at")
     edges = found.where("edge")  # at most two rows per range
@@ -347,10 +379,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, unit: Unit = BYTES) -> D
     blocks = written(repeated_blocks(block_rows))
     for table in (anchors, block_rows):
         removed(table)
+    size = min(BLOCK, least)
     joined = opened.join(blocks, ["doc", "text_key", "anchor"])
     cut = joined.select("doc", "text_key", "anchor", "state", "stands", "token",
-                        F.greatest("lo", F.col("anchor") - F.col("block") * BLOCK - (BLOCK - 1)).alias("lo"),
-                        F.least("hi", F.col("anchor") - F.col("block") * BLOCK).alias("hi")).where("lo <= hi")
+                        F.greatest("lo", F.col("anchor") - F.col("block") * size - (size - 1)).alias("lo"),
+                        F.least("hi", F.col("anchor") - F.col("block") * size).alias("hi")).where("lo <= hi")
     # Open blocks are compared window by window with each other and with one of each kind of settled block like them.
     like_open = cut.where("state = 1").select("token").distinct()
     pending = cut.where("state = 1").unionByName(cut.where("state = 2 AND stands").join(like_open, "token", "left_semi"))

@@ -128,3 +128,17 @@ def test_counted_has_a_row_per_version(spark):
     docs = spark.createDataFrame([(1, "a b", "s", "l", 3), (2, None, None, None, None)], "doc_id long, text string, source string, lang string, tokens long")
     rows = rollups.counted(docs, {"w": F.regexp_count("text", F.lit("[^ ]+")), "c": F.length("text")}).orderBy("doc_id", "version").collect()
     assert [(r.doc_id, r.version, r.tokens) for r in rows] == [(1, "c", 3), (1, "w", 2), (2, "c", 0), (2, "w", 0)]
+
+
+def test_tokens_of_real_vocabularies(spark):
+    texts = ["It's  a test, isn't it?", None, "", "Größe 1234 – naïve\nzwei", "<|endoftext|> x", "中文 mixed", "a " * 3000]
+    docs = spark.createDataFrame([(i, "s" if i % 2 else None, "en", t, "x") for i, t in enumerate(texts)],
+                                 "doc_id long, source string, lang string, text string, version string").repartition(2)
+    names = {"byte": (bpe.BytePairEncoder, "byte_bpe_50k.json"), "word": (bpe.WordEndEncoder, "word_bpe_49k.json")}
+    got = rollups.tokenized(docs, {v: (kind, public_tokenizers.path(f)) for v, (kind, f) in names.items()})
+    want = set()
+    for version, (_, file) in names.items():
+        library = Tokenizer.from_file(public_tokenizers.path(file))
+        library.no_truncation()
+        want |= {(i, "s" if i % 2 else None, "en", version, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)}
+    assert {tuple(r) for r in got.collect()} == want
