@@ -6,9 +6,12 @@ table sentences and slides are then put together by Spark.
 
 import io
 import posixpath
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -23,6 +26,7 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+SHEET_ROWS = 2_000   # rows of a sheet that are handed on at a time
 _BUILTIN_DATE_FORMATS = set(range(14, 23)) | set(range(45, 48))
 
 
@@ -121,24 +125,52 @@ def _column(reference: str) -> int:
     return number - 1
 
 
-def _sheet_rows(content: bytes) -> Iterator[tuple]:
-    """(sheet_no, sheet, ordinal, cells), the first row of a sheet being its header."""
+def _packed(book: zipfile.ZipFile, content: bytes, name: str) -> bytes:
+    """A part as it lies in the file, behind one byte that says whether it is deflated."""
+    info = book.getinfo(name)
+    at = info.header_offset + 30 + sum(struct.unpack_from("<HH", content, info.header_offset + 26))
+    return bytes([info.compress_type != zipfile.ZIP_STORED]) + content[at:at + info.compress_size]
+
+
+def _elements(packed: bytes, tag: str, block: int = 1 << 16) -> Iterator[ET.Element]:
+    """The elements of one tag of a packed part, one after the other: neither the part's text nor its tree is held whole."""
+    inflate, parser = zlib.decompressobj(-zlib.MAX_WBITS), ET.XMLPullParser(["start", "end"])
+    open_elements: list[ET.Element] = []
+    for at in range(1, len(packed), block):
+        piece = packed[at:at + block]
+        parser.feed(inflate.decompress(piece) if packed[0] else piece)
+        for event, element in parser.read_events():
+            if event == "start":
+                open_elements.append(element)
+                continue
+            open_elements.pop()
+            if element.tag == tag:
+                yield element
+                if open_elements:
+                    open_elements[-1].remove(element)
+
+
+def _sheet_parts(content: bytes) -> Iterator[tuple]:
+    """(sheet_no, section, sheet, strings, dates): each sheet of a workbook with what its cells refer to, still packed."""
     book = zipfile.ZipFile(io.BytesIO(content))
-    strings = _xml(book, "xl/sharedStrings.xml")
-    shared = ["".join(t.text or "" for t in si.iter(_S + "t")) for si in
-              (strings.findall(_S + "si") if strings is not None else [])]
-    dates, related = _date_styles(book), _related(book, "xl/workbook.xml")
+    strings = _packed(book, content, "xl/sharedStrings.xml") if "xl/sharedStrings.xml" in book.namelist() else None
+    dates, related = sorted(_date_styles(book)), _related(book, "xl/workbook.xml")
     for number, sheet in enumerate(_xml(book, "xl/workbook.xml").iter(_S + "sheet")):
         kind, part = related[sheet.get(_R + "id")]
-        if kind != "worksheet":
-            continue
-        for position, row in enumerate(_xml(book, part).iter(_S + "row")):
-            ordinal = int(row.get("r", position + 1)) - 1
-            cells: list[str | None] = []
-            for cell in row.findall(_S + "c"):
-                column = _column(cell.get("r")) if cell.get("r") else len(cells)
-                cells += [None] * (column - len(cells)) + [_cell_text(cell, shared, dates)]
-            yield number, sheet.get("name"), ordinal, cells
+        if kind == "worksheet" and part in book.namelist():
+            yield number, sheet.get("name"), _packed(book, content, part), strings, dates
+
+
+def _sheet_rows(sheet: bytes, strings: bytes | None, dates: set[int]) -> Iterator[tuple]:
+    """(ordinal, cells), the first row of a sheet being its header."""
+    shared = ["".join(t.text or "" for t in si.iter(_S + "t")) for si in _elements(strings, _S + "si")] if strings else []
+    for position, row in enumerate(_elements(sheet, _S + "row")):
+        ordinal = int(row.get("r", position + 1)) - 1
+        cells: list[str | None] = []
+        for cell in row.findall(_S + "c"):
+            column = _column(cell.get("r")) if cell.get("r") else len(cells)
+            cells += [None] * (column - len(cells)) + [_cell_text(cell, shared, dates)]
+        yield ordinal, cells
 
 
 def _shape_text(shape: ET.Element) -> str:
@@ -199,9 +231,29 @@ def word_sections(files: DataFrame) -> DataFrame:
     return as_documents(sections, "docx").unionByName(as_documents(sentences, "docx"))
 
 
+def sheet_cells(files: DataFrame) -> DataFrame:
+    """(file_name, sheet_no, section, ordinal, cells): the rows of all sheets.
+
+    A workbook is taken apart into its packed sheets, which are dealt out, so that several tasks read a large one; each
+    reads its sheet element by element and holds the shared strings and some rows.
+    """
+    parts = _unzip(files, _sheet_parts, "sheet_no int, section string, sheet binary, strings binary, dates array<int>")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in batch.itertuples(index=False):
+                found = _sheet_rows(part.sheet, part.strings, set(part.dates))
+                while block := list(islice(found, SHEET_ROWS)):
+                    yield pd.DataFrame([(part.file_name, part.sheet_no, part.section, *row) for row in block],
+                                       columns=["file_name", "sheet_no", "section", "ordinal", "cells"])
+
+    return (parts.repartition("file_name", "sheet_no")
+            .mapInPandas(rows, "file_name string, sheet_no int, section string, ordinal long, cells array<string>"))
+
+
 def sheet_sentences(files: DataFrame) -> DataFrame:
     """One sentence per row of every sheet; rows without any value are dropped."""
-    rows = _unzip(files, _sheet_rows, "sheet_no int, section string, ordinal long, cells array<string>")
+    rows = sheet_cells(files)
     sheet = W.partitionBy("file_name", "sheet_no").orderBy("ordinal")
     filled = rows.withColumn("names", F.first("cells").over(sheet)).withColumn(
         "first_ordinal", F.first("ordinal").over(sheet))

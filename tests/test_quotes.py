@@ -4,6 +4,7 @@ import unicodedata
 import pytest
 
 from folioquery import constants as K
+from folioquery.operators import containment
 from folioquery.operators.quotes import quotes
 from folioquery.sources.tables import price_catalogue
 
@@ -90,3 +91,20 @@ def test_price_that_is_no_number_fails(spark):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         quotes(df, cat).collect()
     assert quotes(df, cat, strict=False).first().lines[0].price is None
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_automaton_and_joins_find_the_same(spark, monkeypatch, limit):
+    monkeypatch.setattr(containment, "AUTOMATON_BYTES", limit)
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abñ ") for _ in range(n))
+    names = {word(rnd.randrange(1, 6)) for _ in range(60)} | {""}
+    asked = {word(rnd.randrange(0, 25)) for _ in range(80)} | {"", "zzz"}
+    name_rows = spark.createDataFrame([(n, i) for i, n in enumerate(sorted(names, key=hash))], "name string, ord long")
+    got = containment.first_contained(spark.createDataFrame([(a,) for a in asked], "request string"), name_rows.where("name <> ''"))
+    order = {r.name: r.ord for r in name_rows.collect() if r.name}
+    want = {(a, min(o for n, o in order.items() if n in a)) for a in asked if any(n in a for n in order)}
+    assert {tuple(r) for r in got.collect()} == want
+    only_empty = containment.first_contained(spark.createDataFrame([("x",), ("",)], "request string"), name_rows.where("name = ''"))
+    assert {r.request for r in only_empty.collect()} == {"x", ""}
+    assert containment.first_contained(spark.createDataFrame([("x",)], "request string"), name_rows.limit(0)).collect() == []

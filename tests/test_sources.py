@@ -1,7 +1,9 @@
 import json
+import zlib
 
 import office_files as office
 import pytest
+from pyspark.sql import functions as F
 
 from folioquery.operators.index import units_per_file
 from folioquery.schema import DOCUMENTS
@@ -158,3 +160,25 @@ def test_corpus_scan_and_categories(spark, tmp_path):
 def test_category_without_maps(spark):
     df = spark.createDataFrame([("a",)], "file_name string")
     assert with_category(df).first().category == "General"
+
+
+def test_sheets_of_a_workbook_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(office_source, "SHEET_ROWS", 7)
+    sheets = {f"S{i}": [["k", "v"]] + [[f"{i}-{j}", str(j)] for j in range(40)] for i in range(8)}
+    office.write_xlsx(tmp_path / "b.xlsx", sheets)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select(F.lit("b.xlsx").alias("file_name"), "content")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cells = office_source.sheet_cells(files).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.task for r in cells}) > 1
+    assert sorted((r.section, r.ordinal, tuple(r.cells)) for r in cells) == sorted(
+        (name, i, tuple(row)) for name, rows in sheets.items() for i, row in enumerate(rows))
+
+
+def test_elements_of_a_part_do_not_add_up():
+    text = b"<a><rows>" + b"".join(b"<r><c>%d</c></r>" % i for i in range(5000)) + b"</rows></a>"
+    for packed in (b"\0" + text, b"\1" + zlib.compress(text, wbits=-15)):
+        found = [e.findtext("c") for e in office_source._elements(packed, "r", 100)]
+        assert found == [str(i) for i in range(5000)]
