@@ -44,3 +44,11 @@ def test_a_copy_of_one_long_line_is_cut(spark):
     docs = spark.createDataFrame([(1, line), (2, line), (3, "short"), (4, "short")], "doc_id long, text string")
     kept = dict(map(tuple, corpus_pipeline.drop_repeated_lines(spark, docs, SF).select("doc_id", "text").collect()))
     assert kept == {1: line, 2: "", 3: "short", 4: "short"}
+
+
+def test_a_passage_of_fifty_short_words_is_cut_everywhere(spark):
+    passage = " ".join(f"w{i:02d}" for i in range(52))  # 207 bytes
+    rows = [(1, f"before one {passage} after one", 9), (2, f"{passage} two", 9), (3, "w00 w01 w02", 9), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_passages(spark, docs, SF).collect()}
+    assert kept == {1: ("before one after one", 20), 2: ("two", 3), 3: ("w00 w01 w02", 11), 4: (None, None)}

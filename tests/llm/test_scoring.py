@@ -35,6 +35,7 @@ def test_toxicity_leaves_clean_documents_alone(spark):
     docs, labels = tables(spark)
     rows = measured(spark, toxicity.toxicity_scores(docs, labels), "toxic")
     assert rows[rows[:, 0] == 0, 1].mean() < 0.02
+    assert rows[rows[:, 0] == 1, 1].mean() > 0.5
     kept = toxicity.without_toxic(docs, labels)
     assert kept.columns == docs.columns and 0.8 * docs.count() < kept.count() < docs.count()
 
