@@ -141,13 +141,14 @@ def read_search(spark: SparkSession, path: str) -> SearchIndex:
 
 # -- searching ---------------------------------------------------------------------------------------------------------
 def _shares(asks: DataFrame, total: DataFrame, stats: DataFrame) -> DataFrame:
-    """(ask, only, term, gain, share): the score a term adds at an impact of one, at most, and its share of the score."""
+    """(ask, only, term, weight, gain, share): the weight of a term in the question, the score it adds at an impact of one,
+    at most, and its share of the score."""
     idf = F.log((1 + total.scalar()) / (1 + F.coalesce("df", F.lit(0))).cast("double")) + 1
     per_ask = W.partitionBy("ask", "only")  # the words of one question
     weighed = (asks.select("ask", "only", F.inline("counts")).join(stats, "term", "left")
                .select("ask", "only", "term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf"), (F.col("tf") * idf).alias("w")))
-    return weighed.select("ask", "only", "term", "df",
-                          (F.col("w") * F.col("idf") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_ask))).alias("gain"),
+    weight = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_ask))
+    return weighed.select("ask", "only", "term", "df", weight.alias("weight"), (weight * F.col("idf")).alias("gain"),
                           (F.sqrt("df") / F.sum(F.sqrt("df")).over(per_ask)).alias("share")).where("df > 0").drop("df")
 
 
@@ -178,8 +179,8 @@ def search(questions: DataFrame, index: SearchIndex, k: int = K.TOP_K, threshold
     asks = asked.select("ask", "only", "counts").dropDuplicates(["ask", "only"])
     per_ask = W.partitionBy("ask", "only")
     shares = checkpoint(_shares(asks, total, stats))
-    wanted_map = (_weighted(asks, ["ask", "only"], total, stats)
-                  .select("ask", "only", F.map_from_arrays("terms", "weights").alias("wanted")))
+    wanted_map = shares.groupBy("ask", "only").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("wanted"))  # the words of one question
     product = F.aggregate(
         F.zip_with("terms", "weights", lambda t, w: F.coalesce(F.try_element_at("wanted", t), F.lit(0.0)) * w),
         F.lit(0.0), lambda acc, p: acc + p)

@@ -73,9 +73,6 @@ def test_gone_files_leave_an_index_without_digests(spark, tmp_path):
     (docs / "a.md").unlink()
     assert sync(spark, str(docs), path, buckets=4) == {"changed": 1, "gone": 1}  # read anew once
     assert texts(spark, path) == ["## Uno\nblfa"]
-    (docs / "b.md").unlink()
-    assert sync(spark, str(docs), path, buckets=4) == {"gone": 1}
-    assert texts(spark, path) == []
 
 
 def test_states_of_files(spark):

@@ -38,15 +38,14 @@ def test_files_cut_at_every_byte(spark, tmp_path, splits):
     (tmp_path / "f.csv").write_text(text + '"', encoding="utf-8")
     want = cells(tables.csv_cells(spark, str(tmp_path), whole_files=True))
     assert [r[1] for r in want] == [2, 3, 4, 5, 6, 7]
-    for size in (1, 2, 7, 1000):  # splits of one byte cut the file at every byte
+    for size in (1, 7):  # splits of one byte cut the file at every byte
         splits(size)
         assert cells(tables.csv_cells(spark, str(tmp_path))) == want, size
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_random_files(spark, tmp_path, splits, seed):
+def test_random_files(spark, tmp_path, splits):
     for n in range(3):
-        (tmp_path / f"f{n}.csv").write_bytes(some_csv(10 * seed + n, 120 * n + 1).encode("utf-8-sig" if n == 1 else "utf-8"))
+        (tmp_path / f"f{n}.csv").write_bytes(some_csv(n, 120 * n + 1).encode("utf-8-sig" if n == 1 else "utf-8"))
     want = cells(tables.csv_cells(spark, str(tmp_path), whole_files=True))
     for size in (37, 1 << 20):
         splits(size)
