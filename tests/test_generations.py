@@ -135,13 +135,13 @@ def test_frequent_words_open_few_postings(spark, tmp_path):
 
 
 def test_search_index_follows_replaced_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(postings, "DELTAS", 2)
+    monkeypatch.setattr(postings, "DELTAS", 1)
     rnd = random.Random(9)
     text = lambda: " ".join(rnd.choices([f"w{i}" for i in range(40)], k=6))
     path, rows = str(tmp_path / "ix"), {}
-    for step in range(4):
+    for step in range(3):
         files = range(12) if step == 0 else rnd.sample(range(14), 2)
-        fresh = some_rows(rnd, files, 3, text) if step != 3 else []
+        fresh = some_rows(rnd, files, 3, text) if step != 2 else []
         rows = {**rows, **{f"f{i:02d}": [r for r in fresh if r[0] == f"f{i:02d}"] for i in files}}
         draft = G.Draft(spark, path)
         I.replace_files(spark, path, lexical.term_counts(chunk_rows(spark, fresh)), names(spark, [(f"f{i:02d}",) for i in files]), 8, draft)
