@@ -2,8 +2,8 @@
 
 A table hashes a vector to the signs of a few projections; the tables together use directions of random rotations. A
 chunk lies in one bucket of each table. A question looks into the buckets it is most likely to share with a near chunk:
-of all signs those that cost the least, where turning round the sign of a projection costs its square. Buckets are joined
-by their number and scored in blocks; a bucket with many chunks is split into slices.
+of all signs those that cost the least, where turning round the sign of a projection costs its square. Chunks lie in the
+order of their buckets and are scored in slices; a question has one bit per bucket and is not repeated for each.
 """
 
 from collections.abc import Iterator
@@ -13,11 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from folioquery import constants as K
-from folioquery.operators.dense import _filters, _matrix, _packs, _score_packs
+from folioquery.operators.dense import _filters, _matrix, _packs, _score_packs, _widths, cell_bits
 
 TABLES, BITS, PROBES = 8, 8, 24
-SLICE_ROWS = 16_384     # chunks of a bucket that are scored by one task
-SLICE_BITS = 10         # room for the number of a slice behind that of its bucket
+SLICE_ROWS = 4_096      # chunks of neighbouring buckets that are scored at a time
 
 
 def projections(length: int, tables: int = TABLES, bits: int = BITS, seed: int = 11) -> np.ndarray:
@@ -43,26 +42,40 @@ def probed_codes(vectors: np.ndarray, planes: np.ndarray, probes: int) -> np.nda
     return codes[:, :, None] ^ np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
 
 
-def _placed(df: DataFrame, planes: np.ndarray, probes: int | None) -> DataFrame:
-    """Repeat each row for its bucket in every table, or for the buckets it looks into; ``cell`` numbers the bucket."""
+def _placed(df: DataFrame, planes: np.ndarray) -> DataFrame:
+    """Repeat each row for its bucket in every table; ``cell`` numbers the bucket."""
     schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
-    first = np.arange(len(planes))[:, None] << planes.shape[1]
+    first = np.arange(len(planes)) << planes.shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                unit = _matrix(part.column("vector"))
-                codes = bucket_codes(unit, planes)[0][:, :, None] if probes is None else probed_codes(unit, planes, probes)
-                cells = (first + codes).reshape(part.num_rows, -1)
-                rows = np.repeat(np.arange(part.num_rows), cells.shape[1])
-                repeated = part.take(pa.array(rows))
+                cells = first + bucket_codes(_matrix(part.column("vector")), planes)[0]
+                repeated = part.take(pa.array(np.repeat(np.arange(part.num_rows), len(planes))))
                 yield pa.RecordBatch.from_arrays([*repeated.columns, pa.array(cells.ravel(), pa.int32())],
                                                  names=[*part.schema.names, "cell"])
 
     return df.where(F.exists("vector", lambda x: x != 0)).mapInArrow(place, schema)
 
 
+def _probing(df: DataFrame, planes: np.ndarray, probes: int) -> DataFrame:
+    """Add ``probes``, one bit per bucket that a question looks into; the question itself is not repeated."""
+    schema = T.StructType([*df.schema.fields, T.StructField("probes", T.BinaryType())])
+    first = np.arange(len(planes))[:, None] << planes.shape[1]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                cells = (first + probed_codes(_matrix(part.column("vector")), planes, probes)).reshape(part.num_rows, -1)
+                open_ = np.zeros((part.num_rows, len(planes) << planes.shape[1]), dtype=bool)
+                np.put_along_axis(open_, cells, True, axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, cell_bits(open_)], names=[*part.schema.names, "probes"])
+
+    return df.where(F.exists("vector", lambda x: x != 0)).mapInArrow(probe, schema)
+
+
 def hashed_topk(questions: DataFrame, chunks: DataFrame, planes: np.ndarray, threshold: float = -1.0, key: str = "chunk_key",
                 k: int = K.TOP_K, probes: int = PROBES) -> DataFrame:
     """The k best chunks by cosine among those that share a probed bucket: (question_id, rank, score, key).
@@ -71,17 +84,9 @@ def hashed_topk(questions: DataFrame, chunks: DataFrame, planes: np.ndarray, thr
     length zero match nothing. More probes or tables find more and look at more: with 8 tables of 8 bits and 24 probes a
     question meets about half of vectors without any structure, and fewer the nearer its best chunks are.
     """
-    placed = _placed(chunks.select(key, "category", "vector"), planes, None)
-    # One row per bucket: at most tables x 2^bits.
-    slices = placed.groupBy("cell").agg(F.least(F.ceil(F.count("*") / SLICE_ROWS), F.lit(1 << SLICE_BITS)).cast("int").alias("slices"))
-    within = lambda slice_: F.shiftleft("cell", SLICE_BITS).bitwiseOR(slice_.cast("int"))
-    split = placed.join(F.broadcast(slices), "cell").select(
-        key, "category", "vector", within(F.pmod(F.xxhash64(key), F.col("slices"))).alias("cell"))
-    asks = (_placed(_filters(questions).select("question_id", "category", "vector"), planes, probes)
-            .join(F.broadcast(slices), "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-            .select("question_id", "category", "vector", within(F.col("slice")).alias("cell")))
-    # Rows of one slice next to each other make full packs.
-    packs = _packs(split.repartition("cell").sortWithinPartitions("cell"), key, "category")
-    ask_packs = _packs(asks.repartition("cell").sortWithinPartitions("cell"), "question_id", "category")
-    hits = _score_packs(ask_packs, packs, 1, k, threshold, "cosine", repeats=True)
+    ask_parts, chunk_parts = _widths(chunks.sparkSession)
+    asks = _probing(_filters(questions).select("question_id", "category", "vector"), planes, probes)
+    hits = _score_packs(_packs(asks.withColumn("cell", F.lit(0)), "question_id", ask_parts),
+                        _packs(_placed(chunks.select(key, "category", "vector"), planes), key, chunk_parts, SLICE_ROWS),
+                        k, threshold, "cosine", cells=len(planes) << planes.shape[1], repeats=True)
     return hits.select("question_id", "rank", "score", F.col("key").alias(key))
