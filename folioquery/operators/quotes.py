@@ -10,6 +10,7 @@ from folioquery import constants as K
 from folioquery.functions.prices import price_is_from, price_value
 from folioquery.functions.text import fold_accents
 from folioquery.operators.containment import first_contained, first_containing
+from folioquery.session import checkpoint
 
 
 def _names(catalogue: DataFrame) -> DataFrame:
@@ -28,14 +29,20 @@ def request_lines(requests: DataFrame) -> DataFrame:
     return requests.select("quote_id", F.posexplode("services").alias("line", "requested"))
 
 
+def _texts(lines: DataFrame) -> DataFrame:
+    """(requested, request): each distinct text and how it is folded, written down once. Otherwise every use reads all lines
+    again, and where only ``request`` is used, Spark drops the first distinct and folds line by line."""
+    return checkpoint(lines.select("requested").distinct().withColumn("request", fold_accents(F.col("requested"))))
+
+
 def quote_lines(lines: DataFrame, catalogue: DataFrame, strict: bool = True) -> DataFrame:
     """Each requested line with the first catalogue entry that contains it or is contained in it.
 
     Returns (quote_id, line, requested, service, price, is_from, delivery), service NULL if unmatched.
     Matching runs once per distinct request text.
     """
-    texts = lines.select("requested").distinct().withColumn("request", fold_accents(F.col("requested")))
-    asked, names = texts.select("request").distinct(), _names(catalogue)
+    texts, names = _texts(lines), checkpoint(_names(catalogue))
+    asked = texts.select("request").distinct()
     first = (first_containing(asked, names).unionByName(first_contained(asked, names))
              .groupBy("request").agg(F.min("ord").alias("ord")))
     matched = first.join(_entries(catalogue), "ord").select(
@@ -50,7 +57,7 @@ def maintenance_lines(requests: DataFrame, catalogue: DataFrame, strict: bool =
     """Maintenance of every request with months > 0: (quote_id, requested, plan_service, monthly, months, cost)."""
     name = F.concat(F.lit(K.MAINTENANCE), F.coalesce("plan", F.lit(K.DEFAULT_PLAN)))
     wanted = requests.where("months > 0").select("quote_id", "months", name.alias("requested"))
-    texts = wanted.select("requested").distinct().withColumn("request", fold_accents(F.col("requested")))
+    texts = _texts(wanted)
     first = first_containing(texts.select("request").distinct(), _names(catalogue))
     plans = texts.join(first, "request").join(_entries(catalogue), "ord").select(
         "requested", F.col("service").alias("plan_service"), price_value(F.col("price_text"), strict).alias("monthly"))
