@@ -67,13 +67,19 @@ def bucket_vectors(chunks: DataFrame, k: int = K.TOP_K) -> DataFrame:
             .select("bucket", F.col("chunk_key").alias("first_key"), "category", "keys", "counts"))
 
 
+def _length(counts: str = "counts") -> Column:
+    """Length of a vector of raw counts."""
+    return F.sqrt(F.aggregate(f"{counts}.tf", F.lit(0.0), lambda total, tf: total + tf.cast("double") * tf.cast("double")))
+
+
 def posting_blocks(vectors: DataFrame) -> DataFrame:
-    """Postings sorted by bucket, term, category and descending impact, cut into blocks within the sorted ranges: a
-    frequent term is spread over ranges, as the order goes on by impact and key."""
-    length = F.sqrt(F.aggregate("counts.tf", F.lit(0.0), lambda total, tf: total + tf.cast("double") * tf.cast("double")))
-    postings = (vectors.select("bucket", "category", "first_key", length.alias("length"), F.inline("counts"))
+    """Postings sorted by bucket, term, category and descending impact, cut into blocks where their vectors are read: no
+    posting is shuffled, a frequent term is spread over the tasks like its vectors."""
+    # The length is made in a select of its own: beside the generator it would be computed again for every posting.
+    postings = (vectors.select("bucket", "category", "first_key", "counts", _length().alias("length"))
+                .select("bucket", "category", "first_key", "length", F.inline("counts"))
                 .select("bucket", "term", "category", (F.col("tf") / F.col("length")).alias("impact"), "first_key"))
-    order = ["bucket", "term", "category", F.desc("impact"), "first_key"]
+    order = ["term", "bucket", "category", F.desc("impact"), "first_key"]
     schema = T.StructType([vectors.schema["bucket"], T.StructField("term", T.StringType()), T.StructField("category", T.StringType()),
                            T.StructField("top", T.DoubleType()), T.StructField("keys", T.ArrayType(T.StringType())),
                            T.StructField("impacts", T.ArrayType(T.DoubleType()))])
@@ -97,7 +103,7 @@ def posting_blocks(vectors: DataFrame) -> DataFrame:
                  pa.ListArray.from_arrays(ends, batch.column("first_key")), pa.ListArray.from_arrays(ends, batch.column("impact"))],
                 ["bucket", "term", "category", "top", "keys", "impacts"])
 
-    return postings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, schema)
+    return postings.sortWithinPartitions(*order).mapInArrow(cut, schema)
 
 
 def add_to_search(draft: Draft, k: int = K.TOP_K) -> list[int]:
@@ -122,7 +128,7 @@ def add_to_search(draft: Draft, k: int = K.TOP_K) -> list[int]:
     placed = deltas.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
     draft.write(TERMS, placed, ["term"], None if fold else ())
     draft.write(VECTORS, bucket_vectors(chunks, k), ["first_key"], replaced)
-    # Read back from the files just written: sorting into ranges reads its input twice.
+    # Read back from the files just written: there a bucket has few files, so that its blocks are full.
     draft.write(BLOCKS, posting_blocks(draft.rows(VECTORS, stale)), ["term", "category", F.desc("top")], replaced)
     draft.remember(CHUNKS, SEARCH, stale)
     return stale
