@@ -8,10 +8,11 @@ Nothing stored depends on the rest of the corpus, so a replaced file costs its o
   As no inverse document frequency is below one, the weight of the term is at most that impact times its own frequency
   weight, whatever the corpus. Postings of a term are cut into blocks in descending impact, each with its highest one.
 
-A search gives each term of a question a share of the score to reach. A chunk that reaches the score gets at least the
-share from one of its terms, so only postings whose impact allows for the share are looked at, and blocks below it are
-not opened. Shares grow with the length of a posting list. The first pass asks for a high score; the second one for the
-k-th best score found so far, or the threshold. Chunks found are scored in full, so the result is exact.
+A search gives each term of a question a share of most of the score to reach. A chunk that reaches the score gets at least
+the share from one of its terms, so only postings whose impact allows for the share are looked at, and blocks below it are
+not opened. Shares grow with the length of a posting list. Opened postings are added up per question and chunk; with the
+most that closed ones can add, few pairs can reach the score, and only these are scored in full, so the result is exact.
+The first pass asks for a high score; the second one for the k-th best score found so far, or the threshold.
 """
 
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ from folioquery.functions.text import has_word
 from folioquery.functions.vectors import score
 from folioquery.operators.generations import Draft, generation, rows as generation_rows
 from folioquery.operators.index import CHUNKS
-from folioquery.operators.lexical import _bag, _weighted, term_counts
-from folioquery.session import checkpoint
+from folioquery.operators.lexical import _bag, _weighted, _with_least_length, term_counts
+from folioquery.session import written
 
 TERMS, VECTORS, BLOCKS = "search_terms", "search_vectors", "search_blocks"
 SEARCH = "search"
@@ -37,6 +38,7 @@ TERM_BUCKETS = 16
 DELTAS = 16             # deltas of the term counts that are added up by readers before a commit folds them
 BLOCK_ROWS = 256
 FIRST_SCORE = 0.7       # score the first pass looks for; results do not depend on it
+UNOPENED = 0.8          # share of the score that postings left closed may add; results do not depend on it
 SLACK = 1e-9            # bounds are widened by this share
 
 
@@ -147,28 +149,32 @@ def read_search(spark: SparkSession, path: str) -> SearchIndex:
 
 # -- searching ---------------------------------------------------------------------------------------------------------
 def _shares(asks: DataFrame, total: DataFrame, stats: DataFrame) -> DataFrame:
-    """(ask, only, term, weight, gain, share): the weight of a term in the question, the score it adds at an impact of one,
-    at most, and its share of the score."""
+    """(asking, only, term, weight, gain, share): the weight of a term in the question, the score it adds at an impact of
+    one, at most, and its share of the score."""
     idf = F.log((1 + total.scalar()) / (1 + F.coalesce("df", F.lit(0))).cast("double")) + 1
-    per_ask = W.partitionBy("ask", "only")  # the words of one question
-    weighed = (asks.select("ask", "only", F.inline("counts")).join(stats, "term", "left")
-               .select("ask", "only", "term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf"), (F.col("tf") * idf).alias("w")))
+    per_ask = W.partitionBy("asking")  # the words of one question
+    weighed = (asks.select("asking", "only", F.inline("counts")).join(stats, "term", "left")
+               .select("asking", "only", "term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf"), (F.col("tf") * idf).alias("w")))
     weight = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_ask))
-    return weighed.select("ask", "only", "term", "df", weight.alias("weight"), (weight * F.col("idf")).alias("gain"),
+    return weighed.select("asking", "only", "term", "df", weight.alias("weight"), (weight * F.col("idf")).alias("gain"),
                           (F.sqrt("df") / F.sum(F.sqrt("df")).over(per_ask)).alias("share")).where("df > 0").drop("df")
 
 
-def opened_postings(wanted: DataFrame, blocks: DataFrame, below: Column | None = None) -> DataFrame:
-    """(ask, only, bucket, first_key) of postings with an impact of at least ``need``, and less than ``below``.
+def _scales(vectors: DataFrame, total: DataFrame, stats: DataFrame) -> DataFrame:
+    """(bucket, first_key, scale): an impact times ``scale`` is at least the count over the weighted length of the vector."""
+    least = _with_least_length(vectors.select("bucket", "first_key", "counts"), total, stats)
+    return least.select("bucket", "first_key", (_length() / F.col("least")).alias("scale"))
+
+
+def opened_postings(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(term, category, bucket, first_key, impact) of postings with an impact that some question needs, each once.
 
     Postings are opened in blocks whose highest impact reaches ``need``; all others are never unfolded."""
-    rows = (wanted.join(blocks, "term").where((F.col("top") >= F.col("need")) & ((F.col("only") == "") | (F.col("only") == F.col("category"))))
-            .select("ask", "only", "bucket", "need", *([] if below is None else [below.alias("below")]),
-                    F.explode(F.arrays_zip("keys", "impacts")).alias("posting")))
-    enough = F.col("posting.impacts") >= F.col("need")
-    if below is not None:
-        enough &= F.col("posting.impacts") < F.col("below")
-    return rows.where(enough).select("ask", "only", "bucket", F.col("posting.keys").alias("first_key"))
+    low = wanted.groupBy("term").agg(F.min("need").alias("low"))
+    rows = (blocks.join(low, "term").where(F.col("top") >= F.col("low"))
+            .select("term", "category", "bucket", "low", F.explode(F.arrays_zip("keys", "impacts")).alias("posting")))
+    return (rows.where(F.col("posting.impacts") >= F.col("low"))
+            .select("term", "category", "bucket", F.col("posting.keys").alias("first_key"), F.col("posting.impacts").alias("impact")))
 
 
 def search(questions: DataFrame, index: SearchIndex, k: int = K.TOP_K, threshold: float = K.THRESHOLDS["lexical"],
@@ -177,25 +183,53 @@ def search(questions: DataFrame, index: SearchIndex, k: int = K.TOP_K, threshold
 
     questions: (question_id, question, category); an empty or NULL category searches everything.
     """
-    total = index.terms.where("term IS NULL").groupBy().agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"))
-    stats = index.terms.where("term IS NOT NULL")
+    terms = written(index.terms)
+    total = terms.where("term IS NULL").groupBy().agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"))
+    stats = terms.where("term IS NOT NULL")
     asked = term_counts(questions.select(
         "question_id", "question", F.coalesce("category", F.lit("")).alias("only")), "question")
     asked = asked.where(has_word(F.col("question"))).withColumn("ask", _bag(F.col("counts")))
-    asks = asked.select("ask", "only", "counts").dropDuplicates(["ask", "only"])
-    per_ask = W.partitionBy("ask", "only")
-    shares = checkpoint(_shares(asks, total, stats))
-    wanted_map = shares.groupBy("ask", "only").agg(
+    asks = written(asked.select("ask", "only", "counts").dropDuplicates(["ask", "only"])
+                   .withColumn("asking", F.monotonically_increasing_id()))
+    per_ask = W.partitionBy("asking")
+    # Tables written down have a known size, so that a few questions are sent to the postings, and not the other way round.
+    shares = written(_shares(asks, total, stats))
+    masses = shares.groupBy("asking").agg(F.sum(F.col("weight") * F.col("weight")).alias("mass"))
+    scales = written(_scales(index.vectors, total, stats))
+    wanted_map = shares.groupBy("asking").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("wanted"))  # the words of one question
     product = F.aggregate(
         F.zip_with("terms", "weights", lambda t, w: F.coalesce(F.try_element_at("wanted", t), F.lit(0.0)) * w),
         F.lit(0.0), lambda acc, p: acc + p)
 
+    def candidates(reach: DataFrame) -> DataFrame:
+        """(asking, bucket, first_key) of all pairs that can have a score of ``reach`` (asking, reach).
+
+        What a pair's opened postings add to its score is known, up to the least length of its vector. Every other term
+        adds at most what it needs for being opened, and all of them at most the length that is left of the question."""
+        floor = F.col("reach") - 10.0 ** -K.SCORE_DIGITS
+        limits = written(
+            shares.join(reach.join(masses, "asking"), "asking").withColumn("floor", floor)
+            .withColumn("most", F.col("share") * F.greatest(F.col("floor"), F.lit(0.0)) * UNOPENED)
+            .withColumn("need", F.col("most") / F.col("gain") * (1 - SLACK)))
+        # In terms of impacts a posting needs less, as the weighted length of its vector is not known before it is opened.
+        postings = opened_postings(limits.select("term", "need"), index.blocks).join(scales, ["bucket", "first_key"])
+        weighed = postings.select("term", "category", "bucket", "first_key", (F.col("impact") * F.col("scale")).alias("impact"))
+        added = (weighed.join(limits, "term")
+                 .where(((F.col("only") == "") | (F.col("only") == F.col("category"))) & (F.col("impact") >= F.col("need")))
+                 .groupBy("asking", "bucket", "first_key")
+                 .agg(F.sum(F.col("gain") * F.col("impact")).alias("partial"), F.sum("most").alias("known"),
+                      F.sum(F.col("weight") * F.col("weight")).alias("seen"), F.first("mass").alias("mass"), F.first("floor").alias("floor")))
+        by_need = F.greatest(F.col("floor"), F.lit(0.0)) * UNOPENED - F.col("known")
+        by_length = F.sqrt(F.greatest(F.col("mass") - F.col("seen"), F.lit(0.0)))
+        rest = F.greatest(F.least(by_need, by_length), F.lit(0.0))
+        return written(added.where(F.col("partial") + rest + SLACK >= F.col("floor")).select("asking", "bucket", "first_key"))
+
     def scored(pairs: DataFrame) -> DataFrame:
         found = index.vectors.join(pairs.select("bucket", "first_key").distinct(), ["bucket", "first_key"], "left_semi")
         weighted = _weighted(found.select("bucket", "first_key", "counts"), ["bucket", "first_key"], total, stats)
-        best = (pairs.join(weighted, ["bucket", "first_key"]).join(wanted_map, ["ask", "only"])
-                .select("ask", "only", "bucket", "first_key", score(product).alias("score")))
+        best = (pairs.join(weighted, ["bucket", "first_key"]).join(wanted_map, "asking")
+                .select("asking", "bucket", "first_key", score(product).alias("score")))
         return best.where(F.col("score") >= threshold)
 
     def opened(best: DataFrame) -> DataFrame:
@@ -203,23 +237,19 @@ def search(questions: DataFrame, index: SearchIndex, k: int = K.TOP_K, threshold
         top = (best.withColumn("rank", F.row_number().over(per_ask.orderBy(F.desc("score"), "first_key")))
                .where(F.col("rank") <= k).drop("rank"))
         keys = top.join(index.vectors.select("bucket", "first_key", "keys"), ["bucket", "first_key"]).select(
-            "ask", "only", "score", F.explode("keys").alias("chunk_key"))
+            "asking", "score", F.explode("keys").alias("chunk_key"))
         return (keys.withColumn("rank", F.row_number().over(per_ask.orderBy(F.desc("score"), "chunk_key")))
                 .where(F.col("rank") <= k))
 
-    def need(reach: Column) -> Column:
-        return F.col("share") * (reach - 10.0 ** -K.SCORE_DIGITS) / F.col("gain") * (1 - SLACK)
-
     high = max(threshold, first_score)
-    pairs = opened_postings(shares.withColumn("need", need(F.lit(high))), index.blocks).distinct()
-    first = scored(pairs)
+    found = opened(scored(candidates(asks.select("asking", F.lit(float(high)).alias("reach")))))
     if high > threshold:
-        first = checkpoint(first)
-        reached = (opened(first).where(F.col("rank") == k).select("ask", "only", F.col("score").alias("reach")))
-        lower = shares.join(reached, ["ask", "only"], "left").withColumn("reach", F.coalesce("reach", F.lit(float(threshold))))
-        lower = lower.where(F.col("reach") < high).withColumns({"need": need(F.col("reach")), "limit": need(F.lit(high))})
-        more = opened_postings(lower, index.blocks, F.col("limit")).distinct()
-        more = more.join(first.select("ask", "only", "bucket", "first_key"), ["ask", "only", "bucket", "first_key"], "left_anti")
-        first = first.unionByName(scored(more))
-    return asked.select("question_id", "ask", "only").join(opened(first), ["ask", "only"]).select(
-        "question_id", "rank", "score", "chunk_key")
+        found = written(found)
+        reached = found.where(F.col("rank") == k).select("asking", F.col("score").alias("reach"))
+        lower = (asks.select("asking").join(reached, "asking", "left")
+                 .withColumn("reach", F.coalesce("reach", F.lit(float(threshold)))).where(F.col("reach") < high))
+        lower = written(lower)
+        # The second pass finds all that such a question reaches, so nothing of the first one is kept for it.
+        found = found.join(lower, "asking", "left_anti").unionByName(opened(scored(candidates(lower))))
+    return asked.select("question_id", "ask", "only").join(asks.select("ask", "only", "asking"), ["ask", "only"]).join(
+        found, "asking").select("question_id", "rank", "score", "chunk_key")
