@@ -165,15 +165,19 @@ def _scales(vectors: DataFrame, total: DataFrame, stats: DataFrame) -> DataFrame
     return least.select("bucket", "first_key", (_length() / F.col("least")).alias("scale"))
 
 
-def opened_postings(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(term, category, bucket, first_key, impact) of postings with an impact that some question needs, each once.
+def opened_postings(wanted: DataFrame, blocks: DataFrame, below: Column | None = None) -> DataFrame:
+    """(term, category, bucket, first_key, impact) of postings with an impact that some question needs, and less than
+    the highest ``below``, each once.
 
     Postings are opened in blocks whose highest impact reaches ``need``; all others are never unfolded."""
-    low = wanted.groupBy("term").agg(F.min("need").alias("low"))
+    low = wanted.groupBy("term").agg(F.min("need").alias("low"), *([] if below is None else [F.max(below).alias("below")]))
     rows = (blocks.join(low, "term").where(F.col("top") >= F.col("low"))
-            .select("term", "category", "bucket", "low", F.explode(F.arrays_zip("keys", "impacts")).alias("posting")))
-    return (rows.where(F.col("posting.impacts") >= F.col("low"))
-            .select("term", "category", "bucket", F.col("posting.keys").alias("first_key"), F.col("posting.impacts").alias("impact")))
+            .select("term", "category", "bucket", *low.columns[1:], F.explode(F.arrays_zip("keys", "impacts")).alias("posting")))
+    enough = F.col("posting.impacts") >= F.col("low")
+    if below is not None:
+        enough &= F.col("posting.impacts") < F.col("below")
+    return rows.where(enough).select("term", "category", "bucket", F.col("posting.keys").alias("first_key"),
+                                     F.col("posting.impacts").alias("impact"))
 
 
 def search(questions: DataFrame, index: SearchIndex, k: int = K.TOP_K, threshold: float = K.THRESHOLDS["lexical"],
